@@ -1,0 +1 @@
+"""streaming of the transfer-graph engine."""
