@@ -67,7 +67,8 @@ def _axes(distinct: DataFrame, fit: int) -> dict[int, np.ndarray]:
     for d in {r.dim for r in rows}:
         x = np.stack([np.frombuffer(r.x) for r in rows if r.dim == d])
         x = x / np.sqrt((x * x).sum(1))[:, None]
-        _, axes = np.linalg.eigh(np.cov(x, rowvar=False).reshape(d, d))
+        x = x - x.mean(0)
+        _, axes = np.linalg.eigh(x.T @ x)
         out[d] = axes[:, ::-1][:, :AXES]
     return out
 
