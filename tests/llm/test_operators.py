@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tracewell.llm import bpe, decontaminate, html_text, language_id, ngram_join, registry, toxicity, url_filter, vector_join, warc
+from tracewell.llm import bpe, decontaminate, html_text, language_id, ngram_join, registry, suffix_dedup, toxicity, url_filter, vector_join, warc
 
 SF = brute.SF
 
@@ -220,3 +220,36 @@ def test_bpe_equals_the_reference_library(spark, documents):
         assert got[d].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     ids = bpe.encode(frame(spark, [(1, "hello"), (2, None), (2, None)], "doc_id long, text string"), path, P.PATTERN)
     assert sorted(bytes(r.decoded) for r in bpe.decode(ids, path, P.PATTERN).collect()) == [b"", b"", b"hello"]
+
+
+REPEAT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_repeats_match_brute_force(spark, documents):
+    assert sorted(rows(registry.op4_suffix_dedup(spark, SF), *REPEAT)) == brute.repeats(documents)
+
+
+def test_repeats_odd_cases(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, data = text(60), []
+    for i in range(150):
+        a, b = sorted(rng.sample(range(len(passage)), 2))
+        data.append((i, text(rng.randrange(30)) + passage[a:b] + text(rng.randrange(30)) + (passage if i % 3 == 0 else "")))
+    data += [(200, "a" * 700), (201, "ab" * 400), (202, None), (203, ""), (204, passage), (205, passage), (206, text(9000)), (207, "x" + passage[:100]), (208, "x" + passage[:99])]
+    data += [(300 + i, passage[: 90 + i] + data[i][1]) for i in range(30)]
+    rng.shuffle(data)
+    assert sorted(rows(suffix_dedup.find(frame(spark, data, "doc_id long, text string")), *REPEAT)) == brute.repeats(data)
+    assert suffix_dedup.find(frame(spark, [], "doc_id long, text string")).count() == 0
+    twice = suffix_dedup.find(frame(spark, [(1, passage), (1, passage), (None, passage)], "doc_id long, text string"))
+    assert sorted(r.n_removed for r in twice.collect()) == [0] + [len(passage.encode())] * 2
+
+
+def test_loser_tree_merges_with_common_prefixes():
+    rng = random.Random(1)
+    runs = [sorted((bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))), b"", i, k, 0) for k in range(rng.randrange(40))) for i in range(7)]
+    got = list(suffix_dedup.LoserTree([suffix_dedup._decode(suffix_dedup._front_code(r)) if r else iter(()) for r in runs]))
+    assert [r for _, r in got] == sorted(r for run in runs for r in run)
+    for (_, x), (k, y) in zip(got, got[1:], strict=False):
+        assert k == suffix_dedup.common(x[0], y[0], 0)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
+from .bloom import Bloom, bloom
 from .components import components
 from .store import materialise
 
@@ -37,45 +38,6 @@ FAN = 8
 #: tokens are counted in runs of about so many; a token in LOCAL distinct sets of one run, HEAVY in all, comes last
 RUN_TOKENS = 4_000_000
 LOCAL, HEAVY = 3, 32
-_M = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Bloom:
-    """A bitmap over tokens with two probes. False positives cost work, never results."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits = bits
-        self.map = np.zeros(1 << bits - 3, np.uint8)
-
-    def _probes(self, t: np.ndarray) -> Iterator[np.ndarray]:
-        yield (t >> np.uint64(64 - self.bits)).astype(np.int64)
-        yield ((t * _M) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def add(self, t: np.ndarray) -> None:
-        for p in self._probes(t):
-            np.bitwise_or.at(self.map, p >> 3, (1 << (p & 7)).astype(np.uint8))
-
-    def has(self, t: np.ndarray) -> np.ndarray:
-        out = np.ones(len(t), bool)
-        for p in self._probes(t):
-            out &= (self.map[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-        return out
-
-
-def _bloom(tokens: DataFrame, most_bits: int = 27) -> Bloom:
-    """A Bloom filter of the column `token`; its size is bounded, whatever the number of tokens."""
-    bits = min(most_bits, max(16, int(16 * tokens.count() + 1).bit_length()))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Bloom(bits)
-        for batch in batches:
-            b.add(batch.column("token").to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([b.map.tobytes()], pa.binary())], ["map"])
-
-    out = Bloom(bits)
-    for r in tokens.select("token").coalesce(4).mapInArrow(build, "map binary").toLocalIterator():
-        out.map |= np.frombuffer(r["map"], np.uint8)
-    return out
 
 
 def _frequent(docs: DataFrame) -> DataFrame:
@@ -284,9 +246,9 @@ def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    late = spark.sparkContext.broadcast(_bloom(materialise(_frequent(docs.select("text")), "frequent")))
+    late = spark.sparkContext.broadcast(bloom(materialise(_frequent(docs.select("text")), "frequent")))
     tokens = materialise(_shared_tokens(docs, late), "shared")
-    sets = materialise(_sets(docs, late, spark.sparkContext.broadcast(_bloom(tokens))), "sets")
+    sets = materialise(_sets(docs, late, spark.sparkContext.broadcast(bloom(tokens))), "sets")
     some = sets.filter("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("shared").alias("shared"))
     reps = materialise(_add_map(some), "distinct")
     members = materialise(reps.select("key", F.explode("shared").alias("token")).join(tokens, "token"), "members")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language_id, ngram_join, toxicity, url_filter, vector_join, warc
+from . import bpe, decontaminate, html_text, language_id, ngram_join, suffix_dedup, toxicity, url_filter, vector_join, warc
 from .store import table
 
 
@@ -22,6 +22,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.CONTRACT + url_filter.PATTERNS)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find(table(spark, sf_dir, "documents")).drop("kept", "spans", "rest")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ _QUERIES = [
     op1_language_id,
     op2_toxicity,
     op3_url_filters,
+    op4_suffix_dedup,
     op5_ngram_jaccard,
     op6_decontamination,
     op7_warc,
