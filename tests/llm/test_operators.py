@@ -113,7 +113,8 @@ def test_signature_tree_loses_no_link():
     for _ in range(150):
         keep = base[rng.rand(400) < rng.choice([0.8, 0.95, 1.0])]
         sets.append(np.unique(np.concatenate((keep, rng.randint(0, 1 << 62, rng.randint(1, 60)).astype(np.uint64)))))
-    raw = [s.tobytes() for s in sets]
+    raw = [ngram_join.pack(s) for s in sets]
+    assert (ngram_join.unpack(raw[0]) == sets[0] >> np.uint64(24)).all()
     tree = ngram_join.SignatureTree(np.array([len(s) for s in sets]), np.arange(150), [ngram_join.signature(r) for r in raw])
     i, j, _ = tree.pairs()
     found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ FAN = 8
 #: tokens are counted in runs of about so many; a token in LOCAL distinct sets of one run, HEAVY in all, comes last
 RUN_TOKENS = 4_000_000
 LOCAL, HEAVY = 3, 32
+#: tables of keys are broadcast up to so many rows, else joined
+BROADCAST_ROWS = 500_000
 
 
 def _frequent(docs: DataFrame) -> DataFrame:
@@ -96,33 +99,48 @@ def _shared_tokens(docs: DataFrame, late) -> DataFrame:
     return rows.groupBy("token").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).filter("pivot <> last").drop("last")
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """The highest 40 bits of each token, in order, byte plane by byte plane: the first plane all but vanishes when
+    compressed. Two sets of n tokens mistake one for another with a chance of n * n / 2**40."""
+    return (tokens >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T[::-1].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :5] = planes[::-1].T
+    return out.view("<u8").ravel()
+
+
 def _sets(docs: DataFrame, late, shared) -> DataFrame:
-    """doc_id, n, key of every row; tokens and shared leading tokens only where another set may share one."""
+    """row, doc_id, n, key of every row; packed tokens and shared leading tokens only where another set may share one."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, at, rows = batch.column("doc_id"), 0, []
 
             def out() -> pa.RecordBatch:
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                return pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "key", "tokens", "shared"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                return pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "row", "n", "key", "tokens", "shared"])
 
             for s in shingles.sets(batch.column("text").to_pylist()):
                 p = leading(s, late.value) if len(s) else s
                 p = p[shared.value.has(p)]
-                rows.append((len(s), shingles.key(s) if len(s) else None, s.tobytes() if len(p) else None, p.view(np.int64) if len(p) else None))
+                row += 1
+                rows.append((row, len(s), shingles.key(s) if len(s) else None, pack(s) if len(p) else None, p.view(np.int64) if len(p) else None))
                 if len(rows) == 1000:
                     yield out()
                     at, rows = at + len(rows), []
             if rows:
                 yield out()
 
-    return docs.mapInArrow(emit, "doc_id long, n long, key long, tokens binary, shared array<long>")
+    return docs.mapInArrow(emit, "doc_id long, row long, n long, key long, tokens binary, shared array<long>")
 
 
 def similar(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    a, b = unpack(x), unpack(y)
     if len(a) > len(b):
         a, b = b, a
     if 100 * len(a) < percent * len(b):
@@ -140,14 +158,19 @@ def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             ok = [similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = reps.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
-    right = reps.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    return materialise(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "verified")
+    left = reps.select(F.col("key").alias("a"), F.col("tokens").alias("x")).join(_small(pairs), "a")
+    right = reps.select(F.col("key").alias("b"), F.col("tokens").alias("y")).join(_small(materialise(pairs.select("b").distinct(), "pivots")), "b")
+    return materialise(left.join(right, "b").mapInArrow(run, "a long, b long"), "verified")
+
+
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of one or two numbers a row, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def signature(tokens: bytes) -> bytes:
     """A bitmap of at least four bits for each token; its width is a power of two of at least 64."""
-    t = np.frombuffer(tokens, np.uint64)
+    t = unpack(tokens)
     width = max(64, 1 << int(4 * len(t) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(t & np.uint64(width - 1)).astype(np.int64)] = 1
@@ -202,7 +225,8 @@ class SignatureTree:
 def _candidates(spread: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
     """Pairs of keys of different components that may link, from blocks (token, key, comp)."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
-    rows = spread.join(reps.select("key", "n", "map"), "key")
+    own = reps.select("key", "n", "tokens").join(_small(materialise(spread.select("key").distinct(), "keys")), "key")
+    rows = spread.join(_add_map(own), "key")
     # a block and size band holds the sets of that band and those of the band below, which may link with them
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1)))
     cell = rows.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
@@ -237,9 +261,10 @@ def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
 def _add_map(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("map", pa.array([signature(t) for t in batch.column("tokens").to_pylist()], pa.binary()))
+            maps = pa.array([signature(t) for t in batch.column("tokens").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), maps], ["key", "n", "map"])
 
-    return reps.mapInArrow(run, "key long, n long, tokens binary, shared array<long>, map binary")
+    return reps.mapInArrow(run, "key long, n long, map binary")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -249,11 +274,12 @@ def groups(docs: DataFrame) -> DataFrame:
     late = spark.sparkContext.broadcast(bloom(materialise(_frequent(docs.select("text")), "frequent")))
     tokens = materialise(_shared_tokens(docs, late), "shared")
     sets = materialise(_sets(docs, late, spark.sparkContext.broadcast(bloom(tokens))), "sets")
-    some = sets.filter("tokens is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("shared").alias("shared"))
-    reps = materialise(_add_map(some), "distinct")
+    # one row stands for all rows of equal sets
+    rows = _small(materialise(sets.filter("tokens is not null").groupBy("key").agg(F.min("row").alias("row")).select("row"), "rows"))
+    reps = sets.join(rows, "row").select("key", "n", "tokens", "shared")
     members = materialise(reps.select("key", F.explode("shared").alias("token")).join(tokens, "token"), "members")
     tried = members.filter("key <> pivot").groupBy("key", "pivot").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("b"))
-    links = _verify(tried.select(F.col("key").alias("a"), "b"), reps)
+    links = _verify(materialise(tried.select(F.col("key").alias("a"), "b"), "tried"), reps)
     for every in (False, True):
         spread = _with_component(members.select("token", "key"), links)
         links = links.unionByName(_verify(_candidates(spread, reps, every), reps))
