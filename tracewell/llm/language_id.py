@@ -141,7 +141,11 @@ def infer(word_like: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> tup
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float = PENALTY) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and the chosen languages with their proportions, for every row of docs."""
+    """doc_id, held_out, lang_pred, score and the chosen languages with their proportions, for every row of docs.
+
+    A column `rest` of docs is handed on.
+    """
+    extra = [c for c in docs.columns if c == "rest"]
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = np.array([*langs, UND], object)
 
@@ -167,12 +171,17 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float
                         pred[i], got[i], said[i] = len(langs), 0.0, ""
                     elif not said[i]:
                         said[i] = f"{names[pred[i]]}:1.000"
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[pred].tolist(), pa.string()), pa.array(np.clip(got, 0, 1)), pa.array(said)], ["doc_id", "held_out", "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[pred].tolist(), pa.string()), pa.array(np.clip(got, 0, 1)), pa.array(said), *(batch.column(c) for c in extra)], ["doc_id", "held_out", "lang_pred", "score", "languages", *extra])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(score, OUT)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text", *extra).mapInArrow(score, OUT + kinds)
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Train on rows of (doc_id, text, lang) outside the held-out third and predict every row's language."""
-    cut = docs.select("doc_id", "text", "lang", (fold(F.col("doc_id"), 3) == 1).alias("held_out"))
+def identify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Train on rows of (doc_id, text, lang) outside the held-out third and predict every row's language.
+
+    carry: columns of docs to hand on, in a struct named rest.
+    """
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    cut = docs.select("doc_id", "text", "lang", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), *rest)
     return predict(cut, *train(cut.filter("not held_out")))

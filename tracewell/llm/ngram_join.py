@@ -158,12 +158,12 @@ def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             ok = [similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = reps.select(F.col("key").alias("a"), F.col("tokens").alias("x")).join(_small(pairs), "a")
-    right = reps.select(F.col("key").alias("b"), F.col("tokens").alias("y")).join(_small(materialise(pairs.select("b").distinct(), "pivots")), "b")
+    left = reps.select(F.col("key").alias("a"), F.col("tokens").alias("x")).join(small(pairs), "a")
+    right = reps.select(F.col("key").alias("b"), F.col("tokens").alias("y")).join(small(materialise(pairs.select("b").distinct(), "pivots")), "b")
     return materialise(left.join(right, "b").mapInArrow(run, "a long, b long"), "verified")
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of one or two numbers a row, marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= rows else df
 
@@ -225,7 +225,7 @@ class SignatureTree:
 def _candidates(spread: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
     """Pairs of keys of different components that may link, from blocks (token, key, comp)."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
-    own = reps.select("key", "n", "tokens").join(_small(materialise(spread.select("key").distinct(), "keys")), "key")
+    own = reps.select("key", "n", "tokens").join(small(materialise(spread.select("key").distinct(), "keys")), "key")
     rows = spread.join(_add_map(own), "key")
     # a block and size band holds the sets of that band and those of the band below, which may link with them
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1)))
@@ -275,7 +275,7 @@ def groups(docs: DataFrame) -> DataFrame:
     tokens = materialise(_shared_tokens(docs, late), "shared")
     sets = materialise(_sets(docs, late, spark.sparkContext.broadcast(bloom(tokens))), "sets")
     # one row stands for all rows of equal sets
-    rows = _small(materialise(sets.filter("tokens is not null").groupBy("key").agg(F.min("row").alias("row")).select("row"), "rows"))
+    rows = small(materialise(sets.filter("tokens is not null").groupBy("key").agg(F.min("row").alias("row")).select("row"), "rows"))
     reps = sets.join(rows, "row").select("key", "n", "tokens", "shared")
     members = materialise(reps.select("key", F.explode("shared").alias("token")).join(tokens, "token"), "members")
     tried = members.filter("key <> pivot").groupBy("key", "pivot").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("b"))

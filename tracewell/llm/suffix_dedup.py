@@ -403,3 +403,21 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in merged]))
         made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made, batch.column("rest")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "rest"])
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """The rows of docs, in its columns, with the text that find() leaves; characters cut into go too. Null stays null.
+
+    An n_chars column is counted anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), text], ["rest", "kept"])
+
+    found = find(docs, docs.columns).select("rest", "kept")
+    kind = found.schema["rest"].dataType.simpleString()
+    out = found.mapInArrow(run, f"rest {kind}, kept string").withColumn("kept", F.when(F.col("rest.text").isNotNull(), F.col("kept")))
+    put = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*((put[c] if c in put else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
