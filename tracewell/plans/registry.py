@@ -4,12 +4,111 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracewell.operators import episodes as E
+from tracewell.operators import features as FE
+from tracewell.sources import transfers as T
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TX = T.TX_SQL
+EP = f"{TX}, {E.EPISODE_SQL}"
+FEAT = f"{EP}, {FE.FEATURE_SQL}"
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with the SQL that gives the same rows."""
+
+    def put(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to so many digits, for comparison across engines."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def tx_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.flagged(T.transfers(spark, sf_dir))
+
+
+@query(f"WITH {TX} SELECT tx_key, tx_id, src, dst, amount_paise, ts_sec, mode, narration, ip, device, layering AS is_layering FROM tx")
+def transfers(spark, sf_dir):
+    return tx_of(spark, sf_dir).select("tx_key", "tx_id", "src", "dst", "amount_paise", "ts_sec", "mode", "narration", "ip", "device", "is_layering")
+
+
+@query(f"WITH {TX} SELECT tx_key, tx_id, count(*) OVER (PARTITION BY tx_id) > 1 AS is_dup_tx_id FROM tx")
+def dup_flag(spark, sf_dir):
+    # counted and joined back, not windowed: an id that repeats often is not gathered in one task
+    tx = T.transfers(spark, sf_dir).select("tx_key", "tx_id")
+    return tx.join(tx.groupBy("tx_id").agg((F.count("*") > 1).alias("is_dup_tx_id")), "tx_id").select("tx_key", "tx_id", "is_dup_tx_id")
+
+
+@query(
+    f"""WITH {TX}, a AS (SELECT acct, (['SBIN', 'HDFC', 'ICIC', 'UTIB', 'PUNB'])[CAST(acct % 5 + 1 AS INT)] AS bank, min(ts_sec) AS first_seen, max(ts_sec) AS last_seen FROM side GROUP BY acct)
+    SELECT acct, bank || lpad(CAST(acct AS VARCHAR), 8, '0') AS acct_no, bank, first_seen, last_seen FROM a"""
+)
+def accounts_dim(spark, sf_dir):
+    return T.accounts(T.transfers(spark, sf_dir))
+
+
+@query(f"WITH {EP} SELECT * FROM ep_in")
+def episodes(spark, sf_dir):
+    return E.inflow_episodes(T.transfers(spark, sf_dir))
+
+
+@query(f"WITH {EP} SELECT * FROM ep_win")
+def episode_windows(spark, sf_dir):
+    return E.episode_windows(E.inflow_episodes(T.transfers(spark, sf_dir)))
+
+
+@query(f"WITH {EP} SELECT * FROM ep_out")
+def episode_outflows(spark, sf_dir):
+    tx = T.transfers(spark, sf_dir)
+    return E.episode_outflows(tx, E.inflow_episodes(tx))
+
+
+@query(
+    f"""WITH {EP}, nx AS (SELECT ep_end, lead(ep_start) OVER (PARTITION BY acct ORDER BY ep_start) AS nxt FROM ep_win),
+    so AS (SELECT acct, ep, sum(out_amt) AS o FROM ep_out GROUP BY acct, ep)
+    SELECT (SELECT count(*) FROM (SELECT out_key FROM ep_out GROUP BY out_key HAVING count(*) > 1)) AS outflows_in_two_episodes,
+    (SELECT count(*) FROM ep_out WHERE lag_s NOT BETWEEN 0 AND 3600) AS lags_outside_window,
+    (SELECT count(*) FROM tx) - (SELECT CAST(sum(n_inflows) AS BIGINT) FROM ep_win) AS inflows_not_in_one_episode,
+    (SELECT count(*) FROM nx WHERE nxt <= ep_end) AS overlapping_episodes,
+    (SELECT count(*) FROM ep_win JOIN so USING (acct, ep) WHERE o > in_total) AS episodes_out_over_in"""
+)
+def episode_audit(spark, sf_dir):
+    tx = T.transfers(spark, sf_dir)
+    inflows = E.inflow_episodes(tx)
+    return E.episode_audit(inflows, E.episode_windows(inflows), E.episode_outflows(tx, inflows))
+
+
+_FEATURE_DOUBLES = [
+    "pass_through_share", "forward_lag_median_s", "split_count_median", "commission_ratio_median", "commission_ratio_iqr", "flagged_out_share", "flagged_in_share",
+    "amount_vs_population", "amount_diversity", "reciprocity", "median_hold_hours", "recurring_sender_share", "device_consistency", "victim_inflow_share", "ip_churn",
+    "structuring_share", "timing_regularity", "odd_hour_share",
+]
+_FEATURE_OTHERS = ["acct", "tx_count", "n_in", "n_out", "is_send_only", "is_receive_only", "days_active", "forwarding_episodes", "burst_fan_in", "shared_ip_cluster_size"]
+
+
+@query(f"WITH {FEAT} SELECT {', '.join(_FEATURE_OTHERS)}, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in _FEATURE_DOUBLES)} FROM feat")
+def features(spark, sf_dir):
+    return rounded(FE.features(tx_of(spark, sf_dir)).select(*_FEATURE_OTHERS, *_FEATURE_DOUBLES))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
