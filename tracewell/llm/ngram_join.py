@@ -223,19 +223,20 @@ class SignatureTree:
 
 
 def _candidates(spread: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
-    """Pairs of keys of different components that may link, from blocks (token, key, comp)."""
+    """Pairs of keys of different components that may link, from blocks (token, key, n, comp)."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
-    own = reps.select("key", "n", "tokens").join(small(materialise(spread.select("key").distinct(), "keys")), "key")
-    rows = spread.join(_add_map(own), "key")
     # a block and size band holds the sets of that band and those of the band below, which may link with them
-    rows = rows.withColumn("band", F.explode(F.array(band, band + 1)))
+    rows = spread.withColumn("band", F.explode(F.array(band, band + 1)))
     cell = rows.groupBy("token", "band").agg(F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     # blocks of the same members are joined once
     cell = cell.filter("m > 1 and c0 <> c1").groupBy("mark", "m").agg(F.min(F.struct("token", "band")).alias("at"))
     cell = cell.select("at.token", "at.band", F.ceil(F.col("m") / BLOCK).alias("parts"))
     rows = rows.join(cell, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("key", "token"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("token", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "key", "n", "comp", "map")
+    rows = materialise(rows.select("token", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "key", "n", "comp"), "cells")
+    # bitmaps join only what is left
+    own = reps.select("key", "n", "tokens").join(small(materialise(rows.select("key").distinct(), "keys")), "key")
+    rows = rows.join(_add_map(own).select("key", "map"), "key")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, comp = pdf["key"].to_numpy(), pdf["comp"].to_numpy()
@@ -255,7 +256,7 @@ def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
     stars = components(links)
     rows = members.join(stars.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     spans = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-    return materialise(rows.join(spans, "token", "left_semi").select("token", "key", "comp"), "spread")
+    return materialise(rows.join(spans, "token", "left_semi").select("token", "key", "n", "comp"), "spread")
 
 
 def _add_map(reps: DataFrame) -> DataFrame:
@@ -277,11 +278,11 @@ def groups(docs: DataFrame) -> DataFrame:
     # one row stands for all rows of equal sets
     rows = small(materialise(sets.filter("tokens is not null").groupBy("key").agg(F.min("row").alias("row")).select("row"), "rows"))
     reps = sets.join(rows, "row").select("key", "n", "tokens", "shared")
-    members = materialise(reps.select("key", F.explode("shared").alias("token")).join(tokens, "token"), "members")
-    tried = members.filter("key <> pivot").groupBy("key", "pivot").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("b"))
+    members = materialise(reps.select("key", F.col("n"), F.explode("shared").alias("token")).join(tokens, "token"), "members")
+    tried = members.filter("key <> pivot").groupBy("key", "pivot").agg(F.count("*").alias("common")).groupBy("key").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("b"))
     links = _verify(materialise(tried.select(F.col("key").alias("a"), "b"), "tried"), reps)
     for every in (False, True):
-        spread = _with_component(members.select("token", "key"), links)
+        spread = _with_component(members.select("token", "key", "n"), links)
         links = links.unionByName(_verify(_candidates(spread, reps, every), reps))
     stars = components(links).withColumnRenamed("id", "key")
     own = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).join(stars, "key", "left").withColumn("component", F.coalesce("component", "key"))
