@@ -31,6 +31,7 @@ from . import shingles
 from .bloom import Bloom, bloom
 from .components import components
 from .store import materialise
+from .wordbytes import parts
 
 #: a link needs 100 * intersection >= PERCENT * union
 PERCENT = 80
@@ -54,7 +55,7 @@ def _frequent(docs: DataFrame) -> DataFrame:
             keep = c >= LOCAL
             return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(c[keep])], ["token", "n"])
 
-        for batch in batches:
+        for batch in parts(batches):
             for s in shingles.sets(batch.column("text").to_pylist()):
                 if (k := shingles.key(s)) not in seen:
                     seen.add(k)
@@ -81,7 +82,7 @@ def _shared_tokens(docs: DataFrame, late) -> DataFrame:
     """Leading tokens of at least two distinct sets: token, pivot (the smallest key)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             tokens, keys, n = [], [], 0
             for s in shingles.sets(batch.column("text").to_pylist()):
                 if len(s):
@@ -117,7 +118,7 @@ def _sets(docs: DataFrame, late, shared) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in parts(batches):
             ids, at, rows = batch.column("doc_id"), 0, []
 
             def out() -> pa.RecordBatch:
@@ -154,7 +155,7 @@ def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Of pairs (a, b) of keys those whose whole sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ok = [similar(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -261,7 +262,7 @@ def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _add_map(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             maps = pa.array([signature(t) for t in batch.column("tokens").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), maps], ["key", "n", "map"])
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom
 from .store import materialise
-from .wordbytes import chunks, mix, powers, prefix_hash, span_hash
+from .wordbytes import chunks, mix, parts, powers, prefix_hash, span_hash
 
 N, K = 100, 50
 RUN = 200_000
@@ -101,7 +101,7 @@ def _batch(**cols) -> pa.RecordBatch:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         for _, enc in chunks(batch.column("text").to_pylist()):
             h, n = np.unique(Anchors(enc).hash, return_counts=True)
             yield _batch(token=_signed(h), n=n)
@@ -261,7 +261,7 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     twice = share(bloom(materialise(_repeated(source.select("text").mapInArrow(_counted, "token long, n long")), "anchors")))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids = np.array([_LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             rows = batch.column("row").to_numpy()
             for at, enc in chunks(batch.column("text").to_pylist()):
@@ -281,7 +281,7 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     wanted = share(bloom(materialise(wanted, "wanted")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids = np.array([_LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             rows = batch.column("row").to_numpy()
             for at, enc in chunks(batch.column("text").to_pylist()):
@@ -295,7 +295,7 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     spans = _merge_spans(table)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for at, enc in chunks(batch.column("text").to_pylist()):
                 a = Anchors(enc)
                 (k,) = np.nonzero(twice.value.has(a.hash))
@@ -333,13 +333,8 @@ def _merge_spans(table: DataFrame) -> DataFrame:
         s = prefix_hash(np.frombuffer(b"".join(text), np.uint8))
         return span_hash(s, start, start + N), at
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 10_000):
-                yield batch.slice(k, 10_000)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in parts(batches, 10_000):
             h, n = np.unique(windows(batch.column("text").to_pylist())[0], return_counts=True)
             yield _batch(token=_signed(h), n=n)
 
@@ -356,7 +351,7 @@ def _merge_spans(table: DataFrame) -> DataFrame:
             cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(held)]
             return _batch(part=part[cut[:-1]].astype(np.int32), run=pa.array([_front_code(held[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
 
-        for batch in slices(batches):
+        for batch in parts(batches, 10_000):
             text = batch.column("text").to_pylist()
             h, at = windows(text)
             ok = several.value.has(h)
@@ -383,7 +378,7 @@ def _merge_spans(table: DataFrame) -> DataFrame:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    for batch in batches:
+    for batch in parts(batches):
         cols = {c: batch.column(c).to_pylist() for c in ("raw", "lo", "hi", "first", "more", "ready")}
         rows = []
         for raw, lo, hi, first, more, ready in zip(*cols.values(), strict=True):
@@ -412,7 +407,7 @@ def texts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             text = pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("rest"), text], ["rest", "kept"])
 

@@ -68,6 +68,13 @@ def span_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((s[ends] - s[starts]) * down[starts])
 
 
+def parts(batches: Iterator, rows: int = 1000) -> Iterator:
+    """The batches in slices of so many rows, so that Python objects are made for few texts at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def chunks(texts: list, size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded texts) in runs of about `size` bytes; a longer text stands alone and whole."""
     at, held, n = 0, [], 0
