@@ -309,8 +309,11 @@ def preview_diff(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import more  # noqa: F401  it registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
