@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -239,17 +238,56 @@ def _candidates(spread: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
     own = reps.select("key", "n", "tokens").join(small(materialise(rows.select("key").distinct(), "keys")), "key")
     rows = rows.join(_add_map(own).select("key", "map"), "key")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, comp = pdf["key"].to_numpy(), pdf["comp"].to_numpy()
-        i, j, common = SignatureTree(pdf["n"].to_numpy(), comp, pdf["map"].tolist()).pairs()
-        out = pd.DataFrame({"a": np.minimum(keys[i], keys[j]), "b": np.maximum(keys[i], keys[j])})
-        if not every:
-            out["x"], out["y"] = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-            out["share"] = common / np.minimum(pdf["n"].to_numpy()[i], pdf["n"].to_numpy()[j])
-            out = out.sort_values("share", ascending=False, kind="stable").drop_duplicates(["x", "y"])[["a", "b"]]
-        return out
-
-    return materialise(rows.groupBy("token", "band", "p", "q").applyInPandas(run, "a long, b long").distinct(), "candidates")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, found = None, [], []
+        for batch in parts(batches, 5000):
+            for at, *row in zip(*([tuple(x) for x in zip(*(batch.column(c).to_pylist() for c in ("token", "band", "p", "q")), strict=True)], *(batch.column(c).to_pylist() for c in ("key", "n", "comp", "map"))), strict=True):
+                if at != cell:
+                    found += _may_link(held, every)
+                    cell, held = at, []
+                held.append(row)
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        yield _pairs(found + _may_link(held, every))
+
+    # each cell's rows lie together in one partition; a cell has at most two parts of a block
+    rows = rows.repartition("token", "band", "p", "q").sortWithinPartitions("token", "band", "p", "q").select("token", "band", "p", "q", "key", "n", "comp", "map")
+    return materialise(rows.mapInArrow(run, "a long, b long").distinct(), "candidates")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+
+def _may_link(cell: list[list], every: bool) -> list[tuple[int, int]]:
+    """Pairs of keys of a cell's rows (key, n, comp, map) that may link; unless every, the likeliest of each pair of components."""
+    if len(cell) < 2:
+        return []
+    if len(cell) == 2:  # the tree of two leaves, without its arrays
+        (a, n, c, x), (b, m, d, y) = cell
+        if c == d or 100 * min(n, m) < PERCENT * max(n, m):
+            return []
+        x, y = _folded(x, len(y)), _folded(y, len(x))
+        most = min(n, m, (x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count()))
+        return [(a, b)] if (100 + PERCENT) * most >= PERCENT * (n + m) else []
+    keys, n, comp = (np.array([r[k] for r in cell], np.int64) for k in range(3))
+    i, j, common = SignatureTree(n, comp, [r[3] for r in cell]).pairs()
+    if not every:
+        best = np.lexsort((-common / np.minimum(n[i], n[j]), np.maximum(comp[i], comp[j]), np.minimum(comp[i], comp[j])))
+        i, j = i[best], j[best]
+        x, y = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(i)]
+        i, j = i[new], j[new]
+    return list(zip(keys[i].tolist(), keys[j].tolist(), strict=True))
+
+
+def _folded(bits: bytes, width: int) -> int:
+    """A bitmap as a number, its parts OR-combined to the width in bytes of a smaller one."""
+    out = 0
+    for k in range(0, len(bits), min(width, len(bits))):
+        out |= int.from_bytes(bits[k : k + min(width, len(bits))], "little")
+    return out
 
 
 def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
