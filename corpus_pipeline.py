@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontaminate, language_id, ngram_join, suffix_dedup
-from tracewell.llm.store import materialise, shared_dir, table
+from tracewell.llm.store import materialise, shared_dir, ship, table
 
 MIN_SHARE = 0.5
 
@@ -75,6 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written as Parquet and read again."""
+    ship(spark)
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
