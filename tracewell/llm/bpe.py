@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordbytes import prefix_hash, span_hash
+from .wordbytes import parts, prefix_hash, span_hash
 
-CACHE = 800_000
+CACHE = 250_000
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.int64(1) << 40
 
@@ -360,7 +360,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in parts(batches, 2000):
             ids_of = batch.column("doc_id")
             at = 0
             for texts in _slices([t or "" for t in batch.column("text").to_pylist()]):
