@@ -4,12 +4,14 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 columns of documents. What they decide takes effect:
 
 * language: documents without a letter, and those whose leading language holds less than half of them, go;
-* near_duplicates: of each group only the document with the smallest doc_id stays (one row of it, if it is repeated);
+* near_duplicates: of each group only the document with the smallest doc_id stays (one row of it, if it is repeated;
+  null doc_ids come last);
 * repeated_strings: every byte in a string of 100 bytes that also starts earlier is cut out of the text;
 * contamination: documents of which at least a twentieth of the words lie in benchmark passages go;
 * tokens: every remaining text becomes the ids of the byte-level vocabulary.
 
-Null texts are rejected by the first stage. Empty input gives empty output.
+Every row is judged by its own text: rows that share a doc_id or have none don't take each other with them. Null texts
+are rejected by the first stage. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from tracewell.llm.store import materialise, shared_dir, ship, table
 MIN_SHARE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids (gone); ids are broadcast only if they are few."""
-    gone = ngram_join.small(materialise(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+def _marked(docs: DataFrame) -> DataFrame:
+    """With a mark of each row's text: groups and contamination depend on nothing else, so rows go by it, not by doc_id."""
+    return docs.withColumn("mark", F.xxhash64("text"))
+
+
+def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs without the rows whose mark is among marks; those are broadcast only if they are few."""
+    return docs.join(ngram_join.small(materialise(marks.select("mark").distinct(), "gone")), "mark", "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +43,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialise(ngram_join.groups(docs), "groups")
-    kept = _without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    twice = materialise(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
+    marked = _marked(docs)
+    groups = ngram_join.groups(marked.select(F.col("mark").alias("doc_id"), "text")).filter("n_shingles > 0")
+    groups = groups.select(F.col("doc_id").alias("mark"), F.col("component_id").alias("component")).distinct()
+    # null doc_ids come last in a group
+    texts = marked.groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), F.count("*").alias("n"))
+    texts = materialise(texts.join(groups, "mark"), "texts")
+    first = texts.groupBy("component").agg(F.min(F.struct("least", "mark")).alias("first"))
+    texts = materialise(texts.join(first, "component").select("mark", "n", F.col("least.doc_id").alias("least"), (F.col("first.mark") == F.col("mark")).alias("stays")), "stays")
+    kept = _without(marked, texts.filter("not stays"))
+    twice = materialise(texts.filter("stays and n > 1").select("mark", "least"), "twice")
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    return _without(kept, twice).unionByName(again.dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    again = kept.join(ngram_join.small(twice), "mark").filter(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["mark"])
+    return _without(kept, twice).select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +64,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated"))
+    marked = _marked(docs)
+    found = decontaminate.find(marked.select(F.col("mark").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(marked, found.filter("contaminated").select(F.col("doc_id").alias("mark"))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

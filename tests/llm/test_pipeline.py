@@ -58,3 +58,17 @@ def test_pipeline_odd_rows(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
     assert sorted(r.doc_id for r in docs.collect()) == [1, 5]
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 20)
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(8)]
+    rows = [(None, text[0]), (5, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (7, text[3]), (7, text[4]), (3, text[4]), (None, item), (9, item), (9, text[5])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = P.near_duplicates(spark, docs, SF)
+    assert near.columns == COLUMNS
+    got = sorted(((r.doc_id or 0, r.text) for r in near.collect()))
+    assert got == sorted([(5, text[0]), (0, text[1]), (0, text[2]), (7, text[3]), (3, text[4]), (9, item), (9, text[5])])
+    left = P.contamination(spark, docs, SF)
+    assert left.columns == COLUMNS
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted((d or 0, t) for d, t in rows if t != item)
