@@ -200,6 +200,16 @@ def test_html_text(spark):
     assert html_text.extract(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_what_only_looks_like_chrome():
+    text = lambda page: html_text.main_blocks(page)[1].replace(" \x01 ", "|")
+    page = "<article><h2 id='market-share'>A</h2><section id='related-work'>B</section><p id=social-policy>C</p><a title='the hidden cost'>D</a><div data-id=menu>E</div>"
+    assert text(page + "<div class='share-buttons big'>no</div><div id=comments>no</div><p hidden>no</p><div class='ad-300x250'>no</div></article>") == "A|B|C|D|E"
+    assert text("<div class='blog-nav-x2'>no</div><h2 id='market-share'>A</h2><div id='site-footer'>no</div>") == "A"
+    head = "<html><head><meta charset=utf-8><title>T</title><link rel=x>"
+    for rest, want in (("<body><p>A</p>", "A"), ("<p>A</p><p>B</p>", "A|B"), ("\n A", "A"), ("</head>\n<body>A", "A"), ("<body><nav>no</nav><article>A</article>", "A"), ("</head><body><div>A</div></body>", "A")):
+        assert text(head + rest) == want
+
+
 def test_bpe_equals_the_reference_library(spark, documents):
     import public_tokenizers as P
     import tiktoken

@@ -47,6 +47,12 @@ CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head",
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 CHROME_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "share", "sharing", "sidebar", "sidenav", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "masthead", "topbar", "gdpr", "alert"}
+#: words that stand beside those in compound names (site-footer, share-buttons, related-posts)
+BESIDE = {"after", "area", "articles", "aside", "bar", "before", "block", "body", "bottom", "box", "btn", "button", "buttons", "center", "col", "column", "container", "content", "count", "fixed", "form", "global", "group", "header", "icon", "icons", "inline", "inner", "item", "items", "js", "label", "left", "link", "links", "list", "main", "media", "mobile", "module", "outer", "overlay", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "signup", "site", "slot", "sticky", "stories", "text", "thread", "title", "top", "unit", "wrap", "wrapper"}
+#: elements with text of their own, whose ids are anchors
+TITLED = {"h1", "h2", "h3", "h4", "h5", "h6", "p"} | INLINE
+#: elements that may stand in head; any other closes it
+IN_HEAD = {"head", "meta", "link", "base", "basefont", "bgsound", "noframes"}
 CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 
 _TOKEN = re.compile(
@@ -56,9 +62,14 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>",
     re.IGNORECASE,
 )
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.IGNORECASE)
+
+
+def _named(name: str) -> bool:
+    """Whether a class or id is a name of chrome: a word for it, alone or compounded with such words or those of BESIDE."""
+    words = _WORD.findall(name)
+    return bool(CHROME_WORDS.intersection(words)) and all(w in CHROME_WORDS or w in BESIDE or len(w) == 1 for w in words)
 
 
 def _is_chrome(tag: str, attrs: str, in_article: bool) -> bool:
@@ -66,15 +77,19 @@ def _is_chrome(tag: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    if _HIDDEN.search(attrs):
-        return True
     for name, a, b, c in _ATTR.findall(attrs):
-        words = _WORD.findall((a or b or c).lower())
-        if name.lower() == "role":
-            if ROLES.intersection(words):
-                return True
-        elif CHROME_WORDS.intersection(words):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden":
             return True
+        if name == "role":
+            if ROLES.intersection(_WORD.findall(value)):
+                return True
+        elif name == "id":
+            if tag not in TITLED and _named(value):
+                return True
+        elif name == "class":
+            if any(map(_named, value.split())) or not in_article and tag not in TITLED and CHROME_WORDS.intersection(_WORD.findall(value)):
+                return True
     return False
 
 
@@ -100,13 +115,24 @@ def blocks(page: str) -> list[tuple[bool, str]]:
         chrome -= was
         article -= tag in ("article", "main")
 
+    def end_head() -> None:
+        while count.get("head"):
+            pop()
+
     for m in _TOKEN.finditer(page):
+        if m.start() > at and count.get("head") and not page[at : m.start()].isspace():
+            end_head()
         if m.start() > at and not chrome:
             held.append(_html.unescape(page[at : m.start()]))
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if count.get("head"):
+            if not m["end"] and tag == "head":
+                continue
+            if not m["end"] and tag not in IN_HEAD:
+                end_head()
         if tag not in INLINE:
             flush()
         if m["end"]:
@@ -126,6 +152,8 @@ def blocks(page: str) -> list[tuple[bool, str]]:
             count[tag] = count.get(tag, 0) + 1
             chrome += was
             article += tag in ("article", "main")
+    if at < len(page) and not page[at:].isspace():
+        end_head()
     if at < len(page) and not chrome:
         held.append(_html.unescape(page[at:]))
     flush()
