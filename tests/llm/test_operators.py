@@ -200,6 +200,23 @@ def test_html_text(spark):
     assert html_text.extract(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_shards_do_not_change_results(spark, monkeypatch):
+    """Boilerplate on two pages of a large host, copies of one page, and a notice in most articles."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice = [words(12) for _ in range(30)]
+    own = [words(30) for _ in range(60)]
+    data = [(i, f"http://open/{i}", f"<p>{own[i]}</p><p>{notice[i // 2]}</p>") for i in range(60)]
+    data += [(100 + i, f"http://art/{i}", f"<article><p>{own[i]}</p>" + (f"<p>{notice[0]}</p>" if i % 10 else "") + "</article>") for i in range(60)]
+    data += [(200 + i, "http://copy/x", "<p>gone away</p>") for i in range(60)] + [(300 + i, None, None) for i in range(20)]
+    pages = frame(spark, data, "page_id long, url string, html string").repartition(3)
+    want = {100 * k + i: own[i] for k in (0, 1) for i in range(60)} | {200 + i: "gone away" for i in range(60)} | {300 + i: "" for i in range(20)}
+    for shard in (2000, 3):
+        assert {r.page_id: r.text for r in html_text.extract(pages, shard).collect()} == want
+    monkeypatch.setattr(html_text, "BROADCAST_RUNS", 2)
+    assert sorted(rows(html_text.extract(pages, 7), "page_id", "text")) == sorted(want.items())
+
+
 def test_html_keeps_what_only_looks_like_chrome():
     text = lambda page: html_text.main_blocks(page)[1].replace(" \x01 ", "|")
     page = "<article><h2 id='market-share'>A</h2><section id='related-work'>B</section><p id=social-policy>C</p><a title='the hidden cost'>D</a><div data-id=menu>E</div>"

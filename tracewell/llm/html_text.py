@@ -9,8 +9,12 @@ are joined into one stream of tokens, with a mark at every block's end, and its
 * within an article, on at least `SHARE` of the host's pages and `MIN_PAGES` of them; an article of which more than half
   would go is a copy of others, not boilerplate, and stays whole.
 
-Pages with equal streams count as one. A host with more than `SHARD` pages is dealt by hash into shards that are judged
-each by itself, so that no task holds a large host.
+Pages with equal streams count as one. A large host is dealt by hash of the stream into shards of about `SHARD` pages,
+which bounds a task and nothing else: shards emit runs with the number of their pages, the numbers are
+summed over the host, and every page is judged by the sums. Then the rows are read again and cut where they stand, so that copies of a page do not meet.
+
+Only runs that may reach a bound are emitted. Where no page of a host lies outside articles, a run on `SHARE` of all pages is
+on `SHARE` of some shard's, so shards first name such runs and the named ones are counted; else all runs are counted.
 
 Defined results: null or empty html has the empty text; a null url has no host and its pages are taken for one host.
 White space is what Unicode counts as such. Repeated rows are extracted alike. Other columns are not read.
@@ -18,6 +22,7 @@ White space is what Unicode counts as such. Repeated rows are extracted alike. O
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
@@ -28,15 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordbytes import NON_BLANK, Words
+from .ngram_join import small
+from .store import materialise
+from .wordbytes import NON_BLANK, Words, mix, parts
 
 RUN = 8
 SHARE = 0.8
 MIN_PAGES = 8
 OPEN_PAGES = 2
 SHARD = 2000
-#: large hosts up to this many are broadcast, else joined
+#: tables up to so many rows (hosts, runs) are broadcast, else joined
 BROADCAST_ROWS = 100_000
+BROADCAST_RUNS = 1_000_000
 OUT = "page_id long, url string, text string, n_chars long"
 _MARK = "\x01"
 
@@ -172,17 +180,17 @@ def _host():
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, article, stream of every row."""
+    """page_id, url, host, article, stream, digest of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                got = [main_blocks(h or "") for h in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array([a for a, _ in got]), pa.array([s for _, s in got])], ["page_id", "url", "host", "article", "stream"])
+        for part in parts(batches, 500):
+            got = [main_blocks(h or "") for h in part.column("html").to_pylist()]
+            digests = [hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=16).digest() for _, s in got]
+            out = pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array([a for a, _ in got], pa.bool_()), pa.array([s for _, s in got], pa.string()), pa.array(digests, pa.binary())], ["page_id", "url", "host", "article", "stream", "digest"])
+            yield out
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host().alias("host"), "html")
-    return rows.mapInArrow(run, "page_id long, url string, host string, article boolean, stream string")
+    return rows.mapInArrow(run, "page_id long, url string, host string, article boolean, stream string, digest binary")
 
 
 def repeated(tokens: np.ndarray, page_of: np.ndarray, last: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,48 +217,161 @@ def repeated(tokens: np.ndarray, page_of: np.ndarray, last: np.ndarray, run: int
     return order, group, np.bincount(group[fresh], minlength=group[-1] + 1)
 
 
-def clean(streams: list[str], article: np.ndarray) -> list[str]:
-    """The texts of a host's pages without boilerplate."""
-    distinct = list(dict.fromkeys(streams))
-    at = {s: i for i, s in enumerate(distinct)}
-    of = np.array([at[s] for s in streams], np.int64)
-    is_article = np.zeros(len(distinct), bool)
-    is_article[of] = article
-    out = [s.replace(f" {_MARK} ", " ") for s in distinct]
-    if len(distinct) >= OPEN_PAGES:
-        enc = [s.encode("utf-8", "replace") for s in distinct]
-        w = Words(enc, NON_BLANK, np.arange(256, dtype=np.uint8))
-        last = np.repeat(w.word_at[1:], np.diff(w.word_at))
-        order, group, pages = repeated(w.hash, w.text_of, last)
-        if len(order):
-            open_rule = pages[group] >= OPEN_PAGES
-            own_rule = pages[group] >= max(MIN_PAGES, int(np.ceil(SHARE * len(distinct))))
-            bad = order[np.where(is_article[w.text_of[order]], own_rule, open_rule)]
-            if len(bad):
-                edge = np.bincount(bad, minlength=len(w.hash) + 1) - np.bincount(bad + RUN, minlength=len(w.hash) + RUN + 1)[: len(w.hash) + 1]
-                covered = np.cumsum(edge)[: len(w.hash)] > 0
-                n = np.add.reduceat(np.append(covered, False).astype(np.int64), np.minimum(w.word_at[:-1], len(w.hash)))
-                n[np.diff(w.word_at) == 0] = 0
-                for i in np.flatnonzero(n):
-                    a, b = w.word_at[i], w.word_at[i + 1]
-                    if is_article[i] and 2 * n[i] > b - a:
-                        continue
-                    words = out[i].split(" ") if _MARK not in distinct[i] else distinct[i].split(" ")
-                    out[i] = " ".join(x for x, c in zip(words, covered[a:b], strict=True) if not c and x != _MARK)
-    return [out[i] for i in of]
+def _words(streams: list[str]) -> tuple[Words, np.ndarray]:
+    """The tokens of streams and where each one's page ends."""
+    w = Words([s.encode("utf-8", "replace") for s in streams], NON_BLANK, np.arange(256, dtype=np.uint8))
+    return w, np.repeat(w.word_at[1:], np.diff(w.word_at))
+
+
+def run_hash(tokens: np.ndarray) -> np.ndarray:
+    """A hash of the RUN tokens from each place on; the last RUN - 1 places have none."""
+    n = max(0, len(tokens) - RUN + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        h = mix(h ^ tokens[k : k + n]) + np.uint64(k)
+    return h.view(np.int64)
+
+
+def _shard_runs(streams: list[str], alone: bool, has_open: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(run, distinct pages) of a shard's distinct streams, of those runs that may reach a bound on the whole host."""
+    w, last = _words(streams)
+    order, group, pages = repeated(w.hash, w.text_of, last)
+    if not len(order):
+        return order, order
+    runs = run_hash(w.hash)[order[np.concatenate(([True], group[1:] != group[:-1]))]]
+    if has_open:
+        keep = pages >= (OPEN_PAGES if alone else 1)
+    else:
+        keep = pages >= np.ceil(SHARE * len(streams) - 1e-9)
+    return runs[keep], pages[keep]
+
+
+def _shards(rows: DataFrame) -> DataFrame:
+    """host, run, n (distinct pages) of every shard; the null run has the number of all its pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before, held, shards, has_open = None, None, [], 1, False
+
+        def out() -> pa.RecordBatch:
+            runs, n = _shard_runs(held, shards == 1, has_open)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * (1 + len(runs)), pa.string()), pa.array([None, *runs.tolist()], pa.int64()), pa.array([len(held), *n.tolist()], pa.int64())], ["host", "run", "n"])
+
+        for batch in parts(batches):
+            for host, salt, digest, article, stream, k, whole in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (host, salt) != at:
+                    if at:
+                        yield out()
+                    at, before, held, shards, has_open = (host, salt), None, [], k, whole
+                has_open |= bool(stream) and not article
+                if digest != before:
+                    held.append(stream)
+                    before = digest
+        if at:
+            yield out()
+
+    # each shard's rows lie together in one partition, equal streams side by side
+    rows = rows.select("host", "salt", "digest", "article", "stream", "shards", "has_open")
+    return rows.repartition("host", "salt").sortWithinPartitions("host", "salt", "digest").mapInArrow(run, "host string, run long, n long")
+
+
+def _by_host(df: DataFrame) -> dict[str, list]:
+    """The rows of a table of host and runs that is small enough, in arrays by host."""
+    cols = [c for c in df.columns if c != "host"]
+    rows = df.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("rows")).collect()
+    return {r["host"]: [np.array([x[c] for x in r["rows"]]) for c in cols] for r in rows}
+
+
+def _count_named(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """host, run, n (distinct pages) of the named runs."""
+    known = pages.sparkSession.sparkContext.broadcast(_by_host(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            runs = []
+            for host, stream in zip(part.column("host").to_pylist(), part.column("stream").to_pylist(), strict=True):
+                (names,) = known.value.get(host, (np.zeros(0, np.int64),))
+                runs.append(np.intersect1d(run_hash(_words([stream])[0].hash), names))
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("digest"), pa.array(runs, pa.list_(pa.int64()))], ["host", "digest", "runs"])
+
+    hits = parse(pages).select("host", "digest", "stream").mapInArrow(run, "host string, digest binary, runs array<long>")
+    return hits.filter("size(runs) > 0").dropDuplicates(["host", "digest"]).select("host", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.count("*").alias("n"))
+
+
+def boilerplate(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """host, run, own: runs to be cut from the pages of each host, within articles too (own) or only from others.
+
+    hosts: host, shards, has_open of the hosts that have several shards.
+    """
+    rows = parse(pages).join(hosts, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("has_open", F.coalesce("has_open", F.lit(False)))
+    counts = materialise(_shards(rows.withColumn("salt", F.pmod(F.xxhash64("digest"), "shards"))), "counts")
+    names = counts.filter("run is not null").join(hosts.filter("not has_open").select("host"), "host", "left_semi").select("host", "run").distinct()
+    names = materialise(names, "names")
+    n = names.count()
+    if n > BROADCAST_RUNS:
+        return boilerplate(pages, hosts.withColumn("has_open", F.lit(True)))
+    if n:
+        some = pages.join(F.broadcast(names.select(F.col("host").alias("named")).distinct()), _host() == F.col("named"), "left_semi")
+        counts = counts.join(names, ["host", "run"], "left_anti").unionByName(_count_named(some, names))
+    runs = counts.filter("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    size = counts.filter("run is null").groupBy("host").agg(F.sum("n").alias("size"))
+    own = F.col("n") >= F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(SHARE) * F.col("size")))
+    return runs.join(size, "host").select("host", "run", own.alias("own"), "n").filter(own | (F.col("n") >= OPEN_PAGES)).drop("n")
+
+
+def clean(streams: list[str], article: np.ndarray, runs: np.ndarray, own: np.ndarray) -> list[str]:
+    """The texts of pages of a host without its boilerplate."""
+    out = [s.replace(f" {_MARK} ", " ") for s in streams]
+    if not len(runs):
+        return out
+    w, last = _words(streams)
+    h = run_hash(w.hash)
+    at = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
+    (bad,) = np.nonzero((runs[at] == h) & (np.arange(len(h)) + RUN <= last[: len(h)]))
+    bad = bad[~article[w.text_of[bad]] | own[at[bad]]]
+    if len(bad):
+        edge = np.bincount(bad, minlength=len(w.hash) + 1) - np.bincount(bad + RUN, minlength=len(w.hash) + RUN + 1)[: len(w.hash) + 1]
+        covered = np.cumsum(edge)[: len(w.hash)] > 0
+        n = np.bincount(w.text_of[covered], minlength=len(streams))
+        for i in np.flatnonzero(n):
+            a, b = w.word_at[i], w.word_at[i + 1]
+            if article[i] and 2 * n[i] > b - a:
+                continue
+            out[i] = " ".join(x for x, c in zip(streams[i].split(" "), covered[a:b], strict=True) if not c and x != _MARK)
+    return out
 
 
 def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
-    hosts = pages.groupBy(_host().alias("host")).agg(F.count("*").alias("n")).filter(F.col("n") > shard).persist()
-    few = hosts.count() <= BROADCAST_ROWS
-    salted = parse(pages).join(F.broadcast(hosts) if few else hosts, "host", "left")
-    salted = salted.withColumn("salt", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / shard))).otherwise(F.lit(0)))
-    if not few:
-        salted = salted.repartition("host", "salt")  # not left where the join by host has put it
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = clean(pdf["stream"].tolist(), pdf["article"].to_numpy(bool))
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    return salted.groupBy("host", "salt").applyInPandas(run, OUT)
+    hosts = parse(pages).groupBy("host").agg(F.count("*").alias("n"), F.max(~F.col("article") & (F.col("stream") != "")).alias("has_open"))
+    shards = F.ceil(F.col("n") / shard)
+    hosts = small(materialise(hosts.select("host", shards.alias("shards"), "has_open").filter("shards > 1"), "hosts"), BROADCAST_ROWS)
+    runs = materialise(boilerplate(pages, hosts), "runs")
+    none = [np.zeros(0, np.int64), np.zeros(0, bool)]
+
+    if runs.count() <= BROADCAST_RUNS:
+        known = pages.sparkSession.sparkContext.broadcast(_by_host(runs))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts(batches, 500):
+                host, article, streams = part.column("host").to_pylist(), np.array(part.column("article").to_pylist(), bool), part.column("stream").to_pylist()
+                got: list[str] = [""] * len(host)
+                of: dict[str, list[int]] = {}
+                for i, h in enumerate(host):
+                    of.setdefault(h, []).append(i)
+                for h, at in of.items():
+                    for i, t in zip(at, clean([streams[i] for i in at], article[at], *known.value.get(h, none)), strict=True):
+                        got[i] = t
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+        return parse(pages).mapInArrow(run, OUT)
+
+    def cut(key: tuple, pdf: pd.DataFrame, bad: pd.DataFrame) -> pd.DataFrame:
+        bad = bad.sort_values("run")
+        got = clean(pdf["stream"].tolist(), pdf["article"].to_numpy(bool), bad["run"].to_numpy(np.int64), bad["own"].to_numpy(bool))
+        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": got, "n_chars": [len(t) for t in got]})
+
+    # dealt by row, not by stream: copies of a page go to all of their host's shards
+    rows = parse(pages).join(hosts, "host", "left").withColumn("salt", F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "shards")))
+    runs = runs.join(hosts, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shards", F.lit(1)) - 1)))
+    rows, runs = rows.select("host", F.col("salt").cast("long").alias("salt"), "page_id", "url", "article", "stream"), runs.select("host", "salt", "run", "own")
+    return rows.groupBy("host", "salt").cogroup(runs.groupBy("host", "salt")).applyInPandas(cut, OUT)
