@@ -211,12 +211,22 @@ def test_html_shards_do_not_change_results(spark, monkeypatch):
     data += [(200 + i, "http://copy/x", "<p>gone away</p>") for i in range(60)] + [(300 + i, None, None) for i in range(20)]
     pages = frame(spark, data, "page_id long, url string, html string").repartition(3)
     want = {100 * k + i: own[i] for k in (0, 1) for i in range(60)} | {200 + i: "gone away" for i in range(60)} | {300 + i: "" for i in range(20)}
-    for shard in (2000, 3):
-        assert {r.page_id: r.text for r in html_text.extract(pages, shard).collect()} == want
+    for shard, size in ((2000, 1 << 20), (3, 1 << 20), (2000, 700)):
+        assert {r.page_id: r.text for r in html_text.extract(pages, shard, size).collect()} == want
     monkeypatch.setattr(html_text, "BROADCAST_RUNS", 2)
     assert sorted(rows(html_text.extract(pages, 7), "page_id", "text")) == sorted(want.items())
 
 
+def test_html_task_sends_a_page_once(spark):
+    """Copies of a page, equal in html or in stream only, leave a task as one row; shards are cut by bytes too."""
+    data = [(i, "http://h/1", f"<head><title>{i % 7}</title></head><p>gone away</p>") for i in range(900)] + [(i, None, None) for i in range(500)]
+    pages = frame(spark, data, "page_id long, url string, html string").coalesce(1)
+    assert sorted(rows(html_text.parse(pages, True), "host", "stream")) == [("", ""), ("h", "gone away")]
+    assert html_text.extract(pages, 100, 300).groupBy("text").count().count() == 2
+    long_ = frame(spark, [(i, "http://h/1", f"<p>{i} " + "word " * 2000) for i in range(40)], "page_id long, url string, html string")
+    assert html_text.shards(html_text.parse(long_), 2000, 20_000).first().shards == 21
+
+
 def test_html_keeps_what_only_looks_like_chrome():
     text = lambda page: html_text.main_blocks(page)[1].replace(" \x01 ", "|")
     page = "<article><h2 id='market-share'>A</h2><section id='related-work'>B</section><p id=social-policy>C</p><a title='the hidden cost'>D</a><div data-id=menu>E</div>"

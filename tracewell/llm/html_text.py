@@ -9,9 +9,10 @@ are joined into one stream of tokens, with a mark at every block's end, and its
 * within an article, on at least `SHARE` of the host's pages and `MIN_PAGES` of them; an article of which more than half
   would go is a copy of others, not boilerplate, and stays whole.
 
-Pages with equal streams count as one. A large host is dealt by hash of the stream into shards of about `SHARD` pages,
-which bounds a task and nothing else: shards emit runs with the number of their pages, the numbers are
-summed over the host, and every page is judged by the sums. Then the rows are read again and cut where they stand, so that copies of a page do not meet.
+Pages with equal streams count as one. A large host is dealt by hash of the stream into shards of about `SHARD` pages
+and `SHARD_BYTES` bytes, which bounds a task and nothing else: shards emit runs with the number of their pages, the numbers are
+summed over the host, and every page is judged by the sums. A task sends each stream once; then the rows are read
+again and cut where they stand, so that copies of a page do not meet.
 
 Only runs that may reach a bound are emitted. Where no page of a host lies outside articles, a run on `SHARE` of all pages is
 on `SHARE` of some shard's, so shards first name such runs and the named ones are counted; else all runs are counted.
@@ -42,6 +43,7 @@ SHARE = 0.8
 MIN_PAGES = 8
 OPEN_PAGES = 2
 SHARD = 2000
+SHARD_BYTES = 32 << 20
 #: tables up to so many rows (hosts, runs) are broadcast, else joined
 BROADCAST_ROWS = 100_000
 BROADCAST_RUNS = 1_000_000
@@ -179,14 +181,21 @@ def _host():
     return F.lower(F.coalesce(F.regexp_extract("url", r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")))
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, article, stream, digest of every row."""
+def parse(pages: DataFrame, distinct: bool = False) -> DataFrame:
+    """page_id, url, host, article, stream, digest of every row, or of one row of each distinct (host, article, stream) of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for part in parts(batches, 500):
             got = [main_blocks(h or "") for h in part.column("html").to_pylist()]
             digests = [hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=16).digest() for _, s in got]
             out = pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array([a for a, _ in got], pa.bool_()), pa.array([s for _, s in got], pa.string()), pa.array(digests, pa.binary())], ["page_id", "url", "host", "article", "stream", "digest"])
+            if distinct:
+                new = []
+                for x in zip(part.column("host").to_pylist(), digests, (a for a, _ in got), strict=True):
+                    new.append(x not in seen)
+                    seen.add(x)
+                out = out.filter(pa.array(new, pa.bool_()))
             yield out
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host().alias("host"), "html")
@@ -293,7 +302,7 @@ def _count_named(pages: DataFrame, names: DataFrame) -> DataFrame:
                 runs.append(np.intersect1d(run_hash(_words([stream])[0].hash), names))
             yield pa.RecordBatch.from_arrays([part.column("host"), part.column("digest"), pa.array(runs, pa.list_(pa.int64()))], ["host", "digest", "runs"])
 
-    hits = parse(pages).select("host", "digest", "stream").mapInArrow(run, "host string, digest binary, runs array<long>")
+    hits = parse(pages, True).select("host", "digest", "stream").mapInArrow(run, "host string, digest binary, runs array<long>")
     return hits.filter("size(runs) > 0").dropDuplicates(["host", "digest"]).select("host", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.count("*").alias("n"))
 
 
@@ -302,7 +311,7 @@ def boilerplate(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
     hosts: host, shards, has_open of the hosts that have several shards.
     """
-    rows = parse(pages).join(hosts, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("has_open", F.coalesce("has_open", F.lit(False)))
+    rows = parse(pages, True).join(hosts, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("has_open", F.coalesce("has_open", F.lit(False)))
     counts = materialise(_shards(rows.withColumn("salt", F.pmod(F.xxhash64("digest"), "shards"))), "counts")
     names = counts.filter("run is not null").join(hosts.filter("not has_open").select("host"), "host", "left_semi").select("host", "run").distinct()
     names = materialise(names, "names")
@@ -340,11 +349,16 @@ def clean(streams: list[str], article: np.ndarray, runs: np.ndarray, own: np.nda
     return out
 
 
-def extract(pages: DataFrame, shard: int = SHARD) -> DataFrame:
+def shards(rows: DataFrame, shard: int, shard_bytes: int) -> DataFrame:
+    """host, shards, has_open (whether a page has text outside articles) of the hosts that need several shards."""
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("stream")).alias("bytes"), F.max(~F.col("article") & (F.col("stream") != "")).alias("has_open"))
+    n = F.greatest(F.ceil(F.col("n") / shard), F.ceil(F.col("bytes") / shard_bytes))
+    return hosts.select("host", n.alias("shards"), "has_open").filter("shards > 1")
+
+
+def extract(pages: DataFrame, shard: int = SHARD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
-    hosts = parse(pages).groupBy("host").agg(F.count("*").alias("n"), F.max(~F.col("article") & (F.col("stream") != "")).alias("has_open"))
-    shards = F.ceil(F.col("n") / shard)
-    hosts = small(materialise(hosts.select("host", shards.alias("shards"), "has_open").filter("shards > 1"), "hosts"), BROADCAST_ROWS)
+    hosts = small(materialise(shards(parse(pages), shard, shard_bytes), "hosts"), BROADCAST_ROWS)
     runs = materialise(boilerplate(pages, hosts), "runs")
     none = [np.zeros(0, np.int64), np.zeros(0, bool)]
 
