@@ -122,3 +122,13 @@ def test_driver_statistics():
 def test_empty_transfers(spark, case):
     c = Case(case.tx.limit(0))
     assert c.features.count() == c.links.count() == c.rings.count() == 0
+
+
+def test_networks_are_numbered_in_parts(spark):
+    rows = spark.createDataFrame([(i, (i * 7919) % 50, (i * 31) % 9) for i in range(400)], "label long, total_in_paise long, first_ts long")
+    got = G._numbered(rows, "label", "ring_id")
+    assert got.columns == ["label", "total_in_paise", "first_ts", "ring_id"] and dict(got.dtypes)["ring_id"] == "int"
+    found = sorted(map(tuple, got.collect()), key=lambda r: r[3])
+    assert found == [(*r, k) for k, r in enumerate(sorted(map(tuple, rows.collect()), key=lambda r: (-r[1], r[2], r[0])), 1)]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "row_number() windowspecdefinition(_part" in plan and "row_number() windowspecdefinition(total_in_paise" not in plan

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.cut import cut
 
+from .audit import ranked
+
 
 def components(links: DataFrame) -> DataFrame:
     """acct, label: the smallest account that it is linked with, directly or not.
@@ -115,13 +117,18 @@ def _stats(member: DataFrame, links: DataFrame, key: str) -> DataFrame:
     return people.join(flow, key).withColumn("unclassified_count", F.col("size") - F.col("l1_count") - F.col("l2_count") - F.col("l3_count"))
 
 
+def _numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Numbers from 1 by money received, the largest first, then by time and key."""
+    at = ranked(rows.withColumn("_in", -F.col("total_in_paise")), ["_in", "first_ts", key])
+    return at.withColumn(name, F.col("_rank").cast("int")).drop("_in", "_rank", "_n")
+
+
 def rings(links: DataFrame, comp: DataFrame, member: DataFrame, on_cycle: DataFrame, profile: dict) -> DataFrame:
     """One row for each component: ring_id, label, counts, money, times, patterns, fingerprint. links has ts_sec."""
     keyed = links.join(comp.select(F.col("acct").alias("from_acct"), "label"), "from_acct")
     cycles = comp.join(on_cycle, "acct", "left_semi")
     rows = _stats(member, keyed, "label").join(_patterns(keyed, "label", cycles, profile), "label", "left")
-    order = Window.orderBy(F.desc("total_in_paise"), "first_ts", "label")  # over networks, a few rows each
-    return rows.withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>"))).withColumn("ring_id", F.row_number().over(order))
+    return _numbered(rows.withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>"))), "label", "ring_id")
 
 
 def reach(links: DataFrame, starts: DataFrame) -> DataFrame:
@@ -148,6 +155,5 @@ def cells(links: DataFrame, comp: DataFrame, member: DataFrame, ring: DataFrame,
     people = inside.unionByName(payer)
     rows = _stats(people, keyed, "l1").join(_patterns(keyed, "l1", r.join(on_cycle, "acct", "left_semi"), profile), "l1", "left")
     network = comp.select(F.col("acct").alias("l1"), "label").join(ring.select("label", F.col("ring_id").alias("network_id")), "label").drop("label")
-    order = Window.orderBy(F.desc("total_in_paise"), "first_ts", "l1")
-    rows = rows.withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>"))).join(network, "l1").withColumn("cell_id", F.row_number().over(order))
-    return rows, people
+    rows = rows.withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>"))).join(network, "l1")
+    return _numbered(rows, "l1", "cell_id"), people
