@@ -10,8 +10,9 @@ columns of documents. What they decide takes effect:
 * contamination: documents of which at least a twentieth of the words lie in benchmark passages go;
 * tokens: every remaining text becomes the ids of the byte-level vocabulary.
 
-Every row is judged by its own text: rows that share a doc_id or have none don't take each other with them. Null texts
-are rejected by the first stage. Empty input gives empty output.
+Every row is judged by itself, under its number in the stage's input: rows that share a doc_id or have none don't take
+each other with them. Null texts are rejected by the first stage. Empty input gives empty output. A stage reads its input
+more than once, which must give the same rows in the same order, as files do.
 """
 
 from __future__ import annotations
@@ -22,19 +23,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontaminate, language_id, ngram_join, suffix_dedup
-from tracewell.llm.store import materialise, shared_dir, ship, table
+from tracewell.llm.store import materialise, remove, scratch, shared_dir, ship, table
 
 MIN_SHARE = 0.5
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """With a mark of each row's text: groups and contamination depend on nothing else, so rows go by it, not by doc_id."""
-    return docs.withColumn("mark", F.xxhash64("text"))
+ROW = "__row"
 
 
-def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """docs without the rows whose mark is among marks; those are broadcast only if they are few."""
-    return docs.join(ngram_join.small(materialise(marks.select("mark").distinct(), "gone")), "mark", "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered rows without those of the given numbers, which are broadcast only if they are few."""
+    return rows.join(ngram_join.small(materialise(gone.select(ROW), "gone")), ROW, "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,20 +46,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = _marked(docs)
-    groups = ngram_join.groups(marked.select(F.col("mark").alias("doc_id"), "text")).filter("n_shingles > 0")
-    groups = groups.select(F.col("doc_id").alias("mark"), F.col("component_id").alias("component")).distinct()
-    # null doc_ids come last in a group
-    texts = marked.groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), F.count("*").alias("n"))
-    texts = materialise(texts.join(groups, "mark"), "texts")
-    first = texts.groupBy("component").agg(F.min(F.struct("least", "mark")).alias("first"))
-    texts = materialise(texts.join(first, "component").select("mark", "n", F.col("least.doc_id").alias("least"), (F.col("first.mark") == F.col("mark")).alias("stays")), "stays")
-    kept = _without(marked, texts.filter("not stays"))
-    twice = materialise(texts.filter("stays and n > 1").select("mark", "least"), "twice")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(ngram_join.small(twice), "mark").filter(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["mark"])
-    return _without(kept, twice).select(*docs.columns).unionByName(again.select(*docs.columns))
+    rows = _numbered(docs)
+    groups = ngram_join.groups(rows.select(F.col(ROW).alias("doc_id"), "text")).filter("n_shingles > 0")
+    groups = groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"))
+    members = materialise(rows.select(ROW, "doc_id").join(groups, ROW), "members")
+    # null doc_ids come last in a group, rows of one doc_id in their order
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    return _without(rows, members.join(first, "component").filter(F.col(ROW) != F.col(f"first.{ROW}")))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +60,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = _marked(docs)
-    found = decontaminate.find(marked.select(F.col("mark").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(marked, found.filter("contaminated").select(F.col("doc_id").alias("mark"))).select(*docs.columns)
+    rows = _numbered(docs)
+    found = decontaminate.find(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.filter("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,10 +84,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet and read again."""
+    """All stages over documents; each one's rows are written as Parquet and read again. What lies between is deleted."""
     ship(spark)
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
