@@ -4,9 +4,12 @@ Merges are taken from a queue with one bucket per merge rank. A bucket holds pos
 parts; three levels of 64-bit words mark which buckets have entries, so find-first-set gives the lowest rank in three
 steps, whatever the length of the pre-token. An entry whose pair has changed since it was queued is stale and skipped.
 
-Many distinct pre-tokens share one queue: their lists lie side by side, each ends at its own barrier, and a bucket is
-worked off for all of them at once, leftmost position of each pre-token first. Texts are whole; each match of the
-pattern is encoded separately and kept in a bounded cache, whose loss costs time only.
+A match of the pattern of over `LONG` bytes has a queue of its own. Shorter ones share one: their lists lie side by side,
+each ends at its own barrier, and a bucket holds the 64 ranks of one word of the bitmap; it is worked off for all of them
+at once, each taking its lowest rank, leftmost position first, until a lower bucket has an entry of its.
+
+Texts are whole; each match is encoded separately. Equal matches of a slice are encoded once, and short ones are kept in
+a bounded cache under their bytes, whose loss costs time only.
 
 Defined results: null counts as the empty text; the empty text has no ids. Lone surrogates are encoded as U+FFFD.
 Repeated rows are encoded alike. Other columns are not read.
@@ -24,11 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordbytes import parts, prefix_hash, span_hash
+from .wordbytes import LONG, parts, span_hash
 
-CACHE = 250_000
+CACHE = 100_000
+#: characters encoded at once; a longer text stands alone
+SLICE = 1 << 20
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_NONE = np.int64(1) << 40
+_NONE = 1 << 30
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,22 +84,17 @@ class Bpe:
             token[r] = b
         self.bytes_flat = np.frombuffer(b"".join(token), np.uint8)
         self.bytes_len = np.array([len(b) for b in token], np.int64)
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        keys, vals = [], []
-        for b, r in ranks.items():
-            for cut in range(1, len(b)):
-                left, right = ranks.get(b[:cut]), ranks.get(b[cut:])
-                if left is not None and right is not None:
-                    keys.append(left << 20 | right)
-                    vals.append(r)
-        self._hash_pairs(np.array(keys, np.int64), np.array(vals, np.int64))
-        self.cache: dict[int, bytes] = {}
+        self.byte = [ranks[bytes([i])] for i in range(256)]
+        #: rank of the concatenation of two tokens, under left << 20 | right
+        self.pair = {ranks[b[:k]] << 20 | ranks[b[k:]]: r for b, r in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
+        self._hash_pairs(np.fromiter(self.pair, np.int64), np.fromiter(self.pair.values(), np.int32))
+        self.cache: dict[bytes, bytes] = {}
 
     def _hash_pairs(self, keys: np.ndarray, vals: np.ndarray) -> None:
-        """An open-addressing table of (left, right) -> rank of their concatenation."""
+        """An open-addressing table of the pairs."""
         bits = max(4, int(len(keys) * 4).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.vals = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int64)
+        self.keys, self.vals = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int32)
         left = np.arange(len(keys))
         at = self._slot(keys)
         while len(left):
@@ -106,128 +106,155 @@ class Bpe:
             at[left] = (at[left] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the concatenations of the token pairs; _NONE where it is no token. Barriers are negative."""
-        key = a << np.int64(20) | b
-        key[(a < 0) | (b < 0)] = -2
+        """Ranks of the concatenations of token pairs; _NONE where it is no token. Barriers are negative."""
+        key = a.astype(np.int64) << 20 | b
         at = self._slot(key)
-        out = np.full(len(key), _NONE, np.int64)
-        (open_,) = np.nonzero(key >= 0)
+        k = self.keys[at]
+        out = np.where(k == key, self.vals[at], np.int32(_NONE))
+        (open_,) = np.nonzero((k != key) & (k >= 0) & (key >= 0))
         while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
             k = self.keys[at[open_]]
             hit = k == key[open_]
             out[open_[hit]] = self.vals[at[open_[hit]]]
             open_ = open_[~hit & (k >= 0)]
-            at[open_] = (at[open_] + 1) & self.mask
         return out
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each of the pieces."""
-        out: list[np.ndarray | None] = [np.array([r]) if (r := self.ranks.get(p)) is not None else None for p in pieces]
-        rest = [i for i, x in enumerate(out) if x is None and pieces[i]]
-        if not rest:
-            return [np.zeros(0, np.int64) if x is None else x for x in out]
-        lens = np.array([len(pieces[i]) for i in rest])
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as little-endian 32-bit integers."""
+        whole = [self.ranks.get(p) for p in pieces]
+        short = [i for i, x in enumerate(whole) if x is None and len(pieces[i]) <= LONG]
+        out = [b"" if x is None else x.to_bytes(4, "little") for x in whole]
+        for i, x in enumerate(whole):
+            if x is None and len(pieces[i]) > LONG:
+                out[i] = np.array(self.merge(pieces[i]), "<u4").tobytes()
+        if short:
+            ids, at = self.merge_short([pieces[i] for i in short])
+            raw = ids.astype("<u4").tobytes()
+            for i, a, b in zip(short, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[i] = raw[4 * a : 4 * b]
+        return out
+
+    def merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces, one after the other, and where each one's begin, with the end."""
+        lens = np.array([len(p) for p in pieces])
         ends = np.cumsum(lens + 1)
-        part = np.full(ends[-1], -1, np.int64)
-        inside = np.ones(len(part), bool)
+        n = int(ends[-1])
+        part = np.full(n, -1, np.int32)
+        inside = np.ones(n, bool)
         inside[ends - 1] = False
-        part[inside] = self.byte[np.frombuffer(b"".join(pieces[i] for i in rest), np.uint8)]
-        piece = np.repeat(np.arange(len(rest)), lens + 1)
-        after, before = np.arange(1, len(part) + 1), np.arange(-1, len(part) - 1)
-        dead = np.zeros(len(part), bool)
-        held = np.full(len(part), _NONE, np.int64)
+        part[inside] = np.array(self.byte, np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lens + 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        dead = np.zeros(n, bool)
+        held = np.full(n, _NONE, np.int32)
         held[:-1] = self.rank(part[:-1], part[1:])
         buckets: dict[int, list[np.ndarray]] = {}
-        bitmap = RankBitmap(len(self.bytes_len))
+        bitmap = RankBitmap(len(self.bytes_len) // 64 + 1)
 
         def push(at: np.ndarray) -> None:
             at = at[held[at] < _NONE]
             if not len(at):
                 return
-            r = held[at]
-            order = np.argsort(r, kind="stable")
-            at, r = at[order], r[order]
-            cuts = np.flatnonzero(np.diff(r)) + 1
-            lows = [0, *cuts.tolist(), len(at)]
-            for x, y in zip(lows, lows[1:], strict=False):
-                rank = int(r[x])
+            of = held[at] >> 6
+            order = np.argsort(of, kind="stable")
+            at, of = at[order], of[order]
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(at)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                k = int(of[x])
+                if k in buckets:
+                    buckets[k].append(at[x:y])
+                else:
+                    buckets[k] = [at[x:y]]
+                    bitmap.set(k)
+
+        push(np.arange(n))
+        while (bucket := bitmap.first()) >= 0:
+            at = np.concatenate(buckets.pop(bucket))
+            bitmap.clear(bucket)
+            at = at[held[at] >> 6 == bucket]  # the others are stale
+            while len(at):
+                # by pre-token, rank and place; an entry may be there twice
+                key = (piece[at].astype(np.int64) << 6 | held[at] & 63) * np.int64(1 + LONG) + (at - ends[piece[at]] + 1 + LONG)
+                order = np.argsort(key)
+                at, key = at[order], key[order]
+                lead = np.ones(len(at), bool)
+                lead[1:] = key[1:] != key[:-1]
+                at = at[lead]
+                lead = np.ones(len(at), bool)
+                lead[1:] = piece[at[1:]] != piece[at[:-1]]
+                wait, at = at[~lead], at[lead]
+                rank, second = held[at], after[at]
+                third = after[second]
+                part[at], after[at], held[second], dead[second] = rank, third, _NONE, True
+                inner = third < n
+                before[third[inner]] = at[inner]
+                held[at] = self.rank(rank, part[np.minimum(third, n - 1)])
+                has = before[at] >= 0
+                left = before[at][has]
+                held[left] = self.rank(part[left], rank[has])
+                touched = np.concatenate((at, left))
+                now = held[touched] >> 6
+                same = np.concatenate((wait[held[wait] >> 6 == bucket], touched[now == bucket]))
+                low = piece[touched[now < bucket]]
+                if len(low) and len(same):  # their pre-tokens go on at a lower bucket
+                    back = np.isin(piece[same], low)
+                    push(same[back])
+                    same = same[~back]
+                push(touched[now != bucket])
+                at = same
+        alive = np.flatnonzero(~dead & (part >= 0))
+        return part[alive], np.searchsorted(piece[alive], np.arange(len(pieces) + 1))
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of one piece that is no token."""
+        n, pair, bitmap = len(piece), self.pair, RankBitmap(len(self.bytes_len))
+        part = [self.byte[x] for x in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        #: rank of the pair that begins at each position; _NONE too where a part was merged into the one before
+        held = [pair.get(x << 20 | y, _NONE) for x, y in zip(part, part[1:], strict=False)] + [_NONE]
+        buckets: dict[int, list[int]] = {}
+
+        def push(at: int) -> None:
+            rank = held[at]
+            if rank < _NONE:
                 if rank in buckets:
-                    buckets[rank].append(at[x:y])
+                    buckets[rank].append(at)
                 else:
-                    buckets[rank] = [at[x:y]]
+                    buckets[rank] = [at]
                     bitmap.set(rank)
 
-        push(np.arange(len(part)))
+        for at in range(n - 1):
+            push(at)
         while (rank := bitmap.first()) >= 0:
-            entries = buckets.pop(rank)
+            entries = sorted(buckets.pop(rank))
             bitmap.clear(rank)
-            at = np.unique(np.concatenate(entries)) if len(entries) > 1 else np.sort(entries[0])
-            at = at[held[at] == rank]  # the others are stale
-            while len(at):
-                new = np.concatenate(([True], piece[at[1:]] != piece[at[:-1]]))
-                lead, wait = at[new], at[~new]
-                second = after[lead]
-                third = after[second]
-                part[lead] = rank
-                after[lead] = third
-                inner = third < len(part)
-                before[third[inner]] = lead[inner]
-                held[second], dead[second] = _NONE, True
-                held[lead] = self.rank(part[lead], part[np.minimum(third, len(part) - 1)])
-                left = before[lead]
-                has = left >= 0
-                prev = left[has]
-                held[prev] = self.rank(part[prev], part[lead[has]])
-                touched = np.unique(np.concatenate((lead, prev)))
-                wait = wait[held[wait] == rank]
-                # a new pair of lower rank goes first in its pre-token; the rest of the bucket waits for it
-                low = touched[held[touched] < rank]
-                same = touched[held[touched] == rank]
-                if len(low):
-                    back = np.isin(piece[wait], piece[low]) if len(wait) else np.zeros(0, bool)
-                    push(np.concatenate((wait[back], same[np.isin(piece[same], piece[low])])))
-                    wait, same = wait[~back], same[~np.isin(piece[same], piece[low])]
-                push(touched[held[touched] != rank])
-                at = np.union1d(wait, same) if len(same) else wait
-                if len(at) and len(at) > 4 * len(np.unique(piece[at])):
-                    at = self._run(rank, at, part, after, before, held, dead, piece, push)
-        alive = np.flatnonzero(~dead & (part >= 0))
-        ids, of = part[alive], piece[alive]
-        bounds = np.searchsorted(of, np.arange(len(rest) + 1))
-        for k, i in enumerate(rest):
-            out[i] = ids[bounds[k] : bounds[k + 1]]
-        return [np.zeros(0, np.int64) if x is None else x for x in out]
-
-    def _run(self, rank, at, part, after, before, held, dead, piece, push) -> np.ndarray:
-        """Work off long runs of one bucket left to right, one position at a time, until a lower rank appears."""
-        blocked, back = set(), []
-        n = len(part)
-        changed = []
-        for p in at.tolist():
-            if held[p] != rank:
-                continue
-            if piece[p] in blocked:
-                back.append(p)
-                continue
-            q = after[p]
-            t = after[q]
-            part[p], after[p], held[q], dead[q] = rank, t, _NONE, True
-            if t < n:
-                before[t] = p
-            left = before[p]
-            pair = self.rank(np.array([part[p], part[left] if left >= 0 else -1]), np.array([part[t] if t < n else -1, rank]))
-            held[p] = pair[0]
-            changed.append(p)
-            if left >= 0:
-                held[left] = pair[1]
-                changed.append(left)
-            if pair.min() < rank:
-                blocked.add(piece[p])
-        push(np.unique(np.array([*changed, *back], np.int64)))
-        return np.zeros(0, np.int64)
+            for k, at in enumerate(entries):
+                if held[at] != rank:  # stale
+                    continue
+                gone = after[at]
+                third, left = after[gone], before[at]
+                part[at], after[at], held[gone] = rank, third, _NONE
+                low = held[at] = pair.get(rank << 20 | part[third], _NONE) if third < n else _NONE
+                if third < n:
+                    before[third] = at
+                push(at)
+                if left >= 0:
+                    held[left] = pair.get(part[left] << 20 | rank, _NONE)
+                    low = min(low, held[left])
+                    push(left)
+                if low < rank and k + 1 < len(entries):  # a lower rank goes first; the rest of the bucket waits
+                    buckets[rank] = entries[k + 1 :]
+                    bitmap.set(rank)
+                    break
+        out, at = [], 0
+        while at < n:
+            out.append(part[at])
+            at = after[at]
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -235,19 +262,18 @@ class Bpe:
         raw = joined.encode("utf-8", "replace")
         if not raw:
             return [np.zeros(0, np.uint32) for _ in texts]
-        buf = np.frombuffer(raw, np.uint8)
         starts, piece_at = self.splitter(texts, joined)
-        ends = np.append(starts[1:], len(buf))
-        key = span_hash(prefix_hash(buf), starts, ends) ^ (ends - starts).astype(np.uint64)
-        key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        ends = np.append(starts[1:], len(raw))
+        first, inverse = _distinct(np.frombuffer(raw + bytes(8), np.uint8), starts, ends)
+        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.cache) > self.limit:
             self.cache.clear()
-        cache, key = self.cache, key.tolist()
-        got = [cache.get(k) for k in key]
+        got = [self.cache.get(p) for p in pieces]
         new = [i for i, x in enumerate(got) if x is None]
-        if new:
-            for i, ids in zip(new, self.merge([raw[starts[first[i]] : ends[first[i]]] for i in new]), strict=True):
-                got[i] = cache[key[i]] = ids.astype("<u4").tobytes()
+        for i, ids in zip(new, self.encode([pieces[i] for i in new]), strict=True):
+            got[i] = ids
+            if len(pieces[i]) <= LONG:
+                self.cache[pieces[i]] = ids
         ids, at = _gather(np.frombuffer(b"".join(got), "<u4"), np.fromiter((len(x) // 4 for x in got), np.int64, len(got)), inverse)
         at = at[piece_at]
         return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -256,6 +282,25 @@ class Bpe:
         return _gather(self.bytes_flat, self.bytes_len, np.asarray(ids, np.int64))[0].tobytes()
 
 
+def _distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one of each distinct span, which of them each span equals); the spans lie side by side and hold a byte at least.
+
+    Hashes only propose equal spans; all their bytes are compared.
+    """
+    _, first, inverse = np.unique(span_hash(buf, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[inverse]
+    n = int(ends[-1])
+    at = np.minimum(np.repeat(starts[like] - starts, size) + np.arange(n), n - 1)
+    (odd,) = np.nonzero((size != size[like]) | np.logical_or.reduceat(buf[:n] != buf[at], starts))
+    own: dict[bytes, int] = {}
+    for i in odd.tolist():
+        k = own.setdefault(buf[starts[i] : ends[i]].tobytes(), len(first))
+        if k == len(first):
+            first = np.append(first, i)
+        inverse[i] = k
+    return first, inverse
+
+
 def _gather(flat: np.ndarray, lens: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Items of `flat`, cut by lens, in the order of pick; and where each begins in the result, with its end."""
     start = np.concatenate(([0], np.cumsum(lens)))[pick]
@@ -343,7 +388,7 @@ def load(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
-def _slices(texts: list[str], size: int = 4 << 20) -> Iterator[list[str]]:
+def _slices(texts: list[str], size: int = SLICE) -> Iterator[list[str]]:
     held, n = [], 0
     for t in texts:
         held.append(t)
@@ -360,7 +405,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in parts(batches, 2000):
+        for batch in parts(batches):
             ids_of = batch.column("doc_id")
             at = 0
             for texts in _slices([t or "" for t in batch.column("text").to_pylist()]):
@@ -382,7 +427,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             got = [bpe.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], ["doc_id", "decoded"])
 
