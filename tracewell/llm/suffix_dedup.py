@@ -6,10 +6,12 @@ equals), so equal windows have equal anchors at equal places, and only suffixes
 two for every N - K bytes. An anchor's context is the stretch of bytes that its windows cover.
 
 1. Anchors whose K-gram occurs once in the corpus are dropped: no window of theirs occurs twice.
-2. Equal contexts are put together by digest; all but the first occurrence are covered by repeated windows throughout.
-3. First occurrences whose anchor has other contexts too are cut down to runs of windows that occur in several of them.
+2. Equal contexts are put together by 128-bit digest; all but the first occurrence are covered by repeated windows
+   throughout.
+3. First occurrences whose anchor has other contexts too are cut down to runs of windows that occur in several of them;
+   of equal runs, too, all but the first are covered throughout, so that a passage in many documents is one record.
    Each task sorts their suffixes into runs, front-codes them (length of the prefix shared with the suffix before, and
-   the rest), and sends each range of the order to one task, which merges the runs with a loser tree that knows all
+   the rest), and sends each range of the order, cut between K-grams, to one task, which merges the runs with a loser tree that knows all
    common prefixes and compares bytes beyond them only. Neighbours' common prefixes give the intervals of suffixes that
    share their first N - l bytes; with equal l bytes before the anchor, they hold equal windows, the first of which stays.
 
@@ -23,6 +25,7 @@ read, unless carried.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -35,30 +38,52 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom
 from .store import materialise
-from .wordbytes import chunks, mix, parts, powers, prefix_hash, span_hash
+from .wordbytes import CHUNK, chunks, mix, parts
 
 N, K = 100, 50
-RUN = 200_000
+RUN = 50_000
+#: records of a range, about
+RANGE = 50_000
 _LAST = (1 << 63) - 1
 _ROW_MULT = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: powers of an odd number and of its inverse, for hashes that only propose: whatever they let pass is compared in full
+_BASE = 0x9E3779B97F4A7C15
+_UP, _DOWN = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(CHUNK + 2 * N, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def rolling(buf: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` bytes from each place on; buf has CHUNK + 2 * N bytes at most."""
+    n = len(buf)
+    s = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _UP[:n], out=s[1:])
+    return mix((s[size:] - s[:-size]) * _DOWN[: n - size + 1])
+
+
 class Anchors:
-    """Anchors of a run of texts: the text, the K-gram's hash, its place, and the windows lo..hi filed under it."""
+    """Anchors of a run of texts: the text, the K-gram's hash, its place, and the windows lo..hi filed under it.
+
+    Windows are worked off in blocks of CHUNK; where a block ends within a long text, so does a context.
+    """
 
     def __init__(self, encoded: list[bytes]) -> None:
         lens = np.fromiter((len(b) for b in encoded), np.int64, len(encoded))
         self.at = np.concatenate(([0], np.cumsum(lens)[:-1])) if len(lens) else lens
-        self.buf = np.frombuffer(b"".join(encoded), np.uint8)
-        size, span = len(self.buf), N - K + 1
-        self.text = self.place = self.lo = self.hi = np.zeros(0, np.int64)
-        self.hash = self.context = np.zeros(0, np.uint64)
-        if size < N:
-            return
-        s = prefix_hash(self.buf)
-        _, down = powers(size + 1)
-        v = mix((s[K:] - s[:-K]) * down[: size - K + 1])
-        bits = np.uint64(int(size).bit_length())
+        self.raw = b"".join(encoded)
+        self.buf = np.frombuffer(self.raw, np.uint8)
+        windows = np.maximum(lens - N + 1, 0)
+        got = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
+        for a in range(0, len(self.buf) - N + 1, CHUNK):
+            got.append(self._block(a, min(a + CHUNK, len(self.buf) - N + 1), self.at, self.at + windows, self.at + lens))
+        self.text, self.place, self.lo, self.hi, self.hash = (np.concatenate(x) for x in zip(*got, strict=True))
+
+    def _block(self, a: int, b: int, first: np.ndarray, stop: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Anchors of the windows that start at a..b-1; a text's windows are first..stop-1 and its bytes end at end."""
+        span = N - K + 1
+        v = rolling(self.buf[a : b + N - 1], K)
+        bits = np.uint64(int(len(v)).bit_length())
         low = v >> bits << bits | np.arange(len(v), dtype=np.uint64)
         width = 1
         while 2 * width <= span:
@@ -66,26 +91,29 @@ class Anchors:
             width *= 2
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
         own = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        step = np.zeros(size + 2, np.int64)
-        long_ = lens >= N
-        np.add.at(step, self.at[long_], 1)
-        np.add.at(step, (self.at + lens - N + 1)[long_], -1)
-        (window,) = np.nonzero(np.cumsum(step)[: len(own)] > 0)
+        step = np.zeros(b - a + 1, np.int64)
+        some = (stop > first) & (first < b) & (stop > a)
+        np.add.at(step, np.maximum(first[some] - a, 0), 1)
+        np.add.at(step, np.minimum(stop[some] - a, b - a), -1)
+        (window,) = np.nonzero(np.cumsum(step)[: b - a] > 0)
         if not len(window):
-            return
+            return (window,) * 4 + (np.zeros(0, np.uint64),)
         own = own[window]
-        text = np.searchsorted(self.at + lens, window, side="right")
+        text = np.searchsorted(end, a + window, side="right")
         new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (text[1:] != text[:-1]))))
-        first, last = window[new], window[np.append(new[1:], len(window)) - 1]
-        self.text, place = text[new], own[new]
-        self.hash = v[place]
-        start = self.at[self.text]
-        self.place, self.lo, self.hi = place - start, first - start, last - start
-        self.context = mix(span_hash(s, first, last + N) + ((place - first) * 4096 + last - first).astype(np.uint64))
+        text, place = text[new], own[new]
+        start = self.at[text] - a
+        return text, place - start, window[new] - start, window[np.append(new[1:], len(window)) - 1] - start, v[place]
 
     def bytes_of(self, k: int) -> bytes:
-        a = self.at[self.text[k]]
-        return self.buf[a + self.lo[k] : a + self.hi[k] + N].tobytes()
+        a = int(self.at[self.text[k]])
+        return self.raw[a + int(self.lo[k]) : a + int(self.hi[k]) + N]
+
+    def digests(self, which: np.ndarray) -> list[bytes]:
+        """128 bits that stand for the bytes of each context and the anchor's place in it."""
+        begin = self.at[self.text[which]]
+        a, b, x = begin + self.lo[which], begin + self.hi[which] + N, self.place[which] - self.lo[which]
+        return [hashlib.blake2b(self.raw[i:j], digest_size=16, salt=k.to_bytes(8, "little")).digest() for i, j, k in zip(a.tolist(), b.tolist(), x.tolist(), strict=True)]
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -233,10 +261,11 @@ def _resolve(merged: Iterator[tuple[int, tuple]]) -> pd.DataFrame:
         order = np.empty(n, np.int64)
         order[np.lexsort((place, row, doc))] = np.arange(n)
         hit = np.zeros((n, most + 2), bool)
-        h = np.zeros(n, np.uint64)
+        #: equal for records with equal bytes before the anchor, as far as they were read
+        h = np.zeros(n, np.int64)
         for x in range(most + 1):
             if x:
-                h = mix(h + before[:, most - x].astype(np.uint64) + np.uint64(1))
+                h = np.unique(h << 8 | before[:, most - x], return_inverse=True)[1]
             (live,) = np.nonzero((size >= N - x) & (left >= x))
             interval = np.cumsum(shared < N - x)[live]
             by = np.lexsort((order[live], h[live], interval))
@@ -267,9 +296,9 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             for at, enc in chunks(batch.column("text").to_pylist()):
                 a = Anchors(enc)
                 (k,) = np.nonzero(twice.value.has(a.hash))
-                yield _batch(context=_signed(a.context[k]), anchor=_signed(a.hash[k]), doc_id=ids[at + a.text[k]], row=rows[at + a.text[k]], lo=a.lo[k])
+                yield _batch(context=pa.array(a.digests(k), pa.binary()), anchor=_signed(a.hash[k]), doc_id=ids[at + a.text[k]], row=rows[at + a.text[k]], lo=a.lo[k])
 
-    found = source.select("doc_id", "text", "row").mapInArrow(places, "context long, anchor long, doc_id long, row long, lo long")
+    found = source.select("doc_id", "text", "row").mapInArrow(places, "context binary, anchor long, doc_id long, row long, lo long")
     firsts = materialise(found.groupBy("context").agg(F.min("anchor").alias("anchor"), F.min(F.struct("doc_id", "row", "lo")).alias("at")).select("context", "anchor", "at.row", "at.lo"), "firsts")
     varied = firsts.groupBy("anchor").agg(F.min("context").alias("x"), F.max("context").alias("y")).filter("x <> y").select("anchor")
 
@@ -288,10 +317,9 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
                 a = Anchors(enc)
                 (k,) = np.nonzero(twice.value.has(a.hash) & wanted.value.has(_pair_token(rows[at + a.text], a.lo)))
                 text = [a.bytes_of(i) for i in k]
-                head = [int.from_bytes(t[x : x + 6], "big") for t, x in zip(text, (a.place - a.lo)[k], strict=True)]
-                yield _batch(doc_id=ids[at + a.text[k]], row=rows[at + a.text[k]], lo=a.lo[k], place=a.place[k], head=pa.array(head, pa.int64()), text=pa.array(text, pa.binary()))
+                yield _batch(doc_id=ids[at + a.text[k]], row=rows[at + a.text[k]], lo=a.lo[k], place=a.place[k], text=pa.array(text, pa.binary()))
 
-    table = materialise(source.select("doc_id", "text", "row").mapInArrow(contexts, "doc_id long, row long, lo long, place long, head long, text binary"), "contexts")
+    table = materialise(source.select("doc_id", "text", "row").mapInArrow(contexts, "doc_id long, row long, lo long, place long, text binary"), "contexts")
     spans = _merge_spans(table)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,31 +355,30 @@ def _merge_spans(table: DataFrame) -> DataFrame:
     def windows(text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows, and where each context's begin."""
         lens = np.array([len(t) for t in text], np.int64)
-        n = lens - N + 1
-        at = np.concatenate(([0], np.cumsum(n)))
-        start = np.repeat(np.concatenate(([0], np.cumsum(lens)[:-1])) - at[:-1], n) + np.arange(at[-1])
-        s = prefix_hash(np.frombuffer(b"".join(text), np.uint8))
-        return span_hash(s, start, start + N), at
+        at = np.concatenate(([0], np.cumsum(lens - N + 1)))
+        got, held, size = [np.zeros(0, np.uint64)], [], 0
+        for k in range(len(text) + 1):
+            if held and (k == len(text) or size + len(text[k]) > CHUNK):
+                own = lens[k - len(held) : k]
+                inside = np.ones(size, bool)
+                for back in range(1, N):
+                    inside[np.cumsum(own) - back] = False
+                got.append(rolling(np.frombuffer(b"".join(held), np.uint8), N)[inside[: size - N + 1]])
+                held, size = [], 0
+            if k < len(text):
+                held.append(text[k])
+                size += len(text[k])
+        return np.concatenate(got), at
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 10_000):
+        for batch in parts(batches):
             h, n = np.unique(windows(batch.column("text").to_pylist())[0], return_counts=True)
             yield _batch(token=_signed(h), n=n)
 
     several = spark.sparkContext.broadcast(bloom(materialise(_repeated(table.mapInArrow(count, "token long, n long")), "windows")))
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = np.array(table.approxQuantile("head", [k / n_parts for k in range(1, n_parts)], 0.002) if n_parts > 1 else [], np.float64)
-
-    def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def run() -> pa.RecordBatch:
-            held.sort()
-            part = np.searchsorted(bounds, [int.from_bytes(r[0][:6], "big") for r in held], side="right")
-            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(held)]
-            return _batch(part=part[cut[:-1]].astype(np.int32), run=pa.array([_front_code(held[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
-
-        for batch in parts(batches, 10_000):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             text = batch.column("text").to_pylist()
             h, at = windows(text)
             ok = several.value.has(h)
@@ -361,9 +388,38 @@ def _merge_spans(table: DataFrame) -> DataFrame:
             stop = np.flatnonzero(ok & (edge[1:] | ~np.concatenate((ok[1:], [False])))) + 1
             of = np.searchsorted(at, start, side="right") - 1
             ids, rows, lo, place = (batch.column(c).to_numpy() for c in ("doc_id", "row", "lo", "place"))
-            for i, a, b in zip(of.tolist(), (start - at[of]).tolist(), (stop - at[of]).tolist(), strict=True):
-                x = int(place[i] - lo[i])
-                held.append((text[i][x : b - 1 + N], text[i][a:x], int(ids[i]), int(rows[i]), int(place[i])))
+            left, suffix = [], []
+            for i, a, b, x in zip(of.tolist(), (start - at[of]).tolist(), (stop - at[of]).tolist(), (place - lo)[of].tolist(), strict=True):
+                left.append(text[i][a:x])
+                suffix.append(text[i][x : b - 1 + N])
+            mark = [hashlib.blake2b(x + y, digest_size=16, salt=len(x).to_bytes(8, "little")).digest() for x, y in zip(left, suffix, strict=True)]
+            yield _batch(mark=pa.array(mark, pa.binary()), doc_id=ids[of], row=rows[of], place=place[of], left=pa.array(left, pa.binary()), suffix=pa.array(suffix, pa.binary()))
+
+    cuts = materialise(table.mapInArrow(cut, "mark binary, doc_id long, row long, place long, left binary, suffix binary"), "cuts")
+    # of equal cuts the first stays, the others are covered throughout
+    records = cuts.groupBy("mark").agg(F.min(F.struct("doc_id", "row", "place", "left", "suffix")).alias("r"))
+    records = materialise(records.select("mark", "r.*"), "records")
+    stays = records.select("mark", F.col("row").alias("first_row"), F.col("place").alias("first_place"))
+    covered = cuts.select("mark", "row", (F.col("place") - F.octet_length("left")).alias("start"), (F.col("place") + F.octet_length("suffix")).alias("end"), "place").join(stays, "mark")
+    covered = covered.filter("row <> first_row or place <> first_place").select("row", "start", "end")
+    n = records.count()
+    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE)
+    # a few K-grams for each range, by hash
+    sample = records.select("suffix").filter(F.pmod(F.xxhash64("mark"), F.lit(max(1, n // (32 * n_parts)))) == 0).select(F.substring("suffix", 1, K).alias("head")).distinct()
+    heads = sorted(bytes(r.head) for r in sample.collect())
+    bounds = sorted({heads[len(heads) * k // n_parts] for k in range(1, n_parts)}) if heads else []
+
+    def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def run() -> pa.RecordBatch:
+            held.sort()
+            part = np.array([bisect.bisect_right(bounds, r[0][:K]) for r in held], np.int32)
+            ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(held)]
+            return _batch(part=part[ends[:-1]], run=pa.array([_front_code(held[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
+
+        for batch in parts(batches):
+            held += zip(*(batch.column(c).to_pylist() for c in ("suffix", "left", "doc_id", "row", "place")), strict=True)
             if len(held) >= RUN:
                 yield run()
                 held = []
@@ -373,7 +429,8 @@ def _merge_spans(table: DataFrame) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return _resolve(iter(LoserTree([_decode(r) for r in pdf["run"]])))
 
-    return materialise(table.mapInArrow(sort_runs, "part int, run binary").groupBy("part").applyInPandas(merge, "row long, start long, end long"), "spans")
+    merged = records.drop("mark").mapInArrow(sort_runs, "part int, run binary").groupBy("part").applyInPandas(merge, "row long, start long, end long")
+    return materialise(merged.unionByName(covered), "spans")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
