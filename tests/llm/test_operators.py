@@ -113,14 +113,60 @@ def test_signature_tree_loses_no_link():
     for _ in range(150):
         keep = base[rng.rand(400) < rng.choice([0.8, 0.95, 1.0])]
         sets.append(np.unique(np.concatenate((keep, rng.randint(0, 1 << 62, rng.randint(1, 60)).astype(np.uint64)))))
-    raw = [ngram_join.pack(s) for s in sets]
-    assert (ngram_join.unpack(raw[0]) == sets[0] >> np.uint64(24)).all()
+    raw = [s.tobytes() for s in sets]
     tree = ngram_join.SignatureTree(np.array([len(s) for s in sets]), np.arange(150), [ngram_join.signature(r) for r in raw])
     i, j, _ = tree.pairs()
     found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     assert {(a, b) for a in range(150) for b in range(a + 1, 150) if ngram_join.similar(raw[a], raw[b])} <= found
 
 
+def thue_morse(n=1024):
+    """A word and its complement, which any polynomial hash modulo 2**64 takes for equal."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    import public_tokenizers as P
+
+    x, y = thue_morse()
+    docs = [(1, x), (2, y), (3, f"{x} one two three four five"), (4, f"{y} one two three four five"), (5, x)]
+    df = frame(spark, docs, "doc_id long, text string")
+    assert sorted(rows(ngram_join.groups(df), "doc_id", "n_shingles", "component_id")) == brute.jaccard_groups(docs)
+    items = [("i", x)]
+    got = decontaminate.find(df, frame(spark, items, "item_id string, text string"))
+    assert sorted(rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == brute.contamination(docs, items)
+    assert sorted(rows(suffix_dedup.find(df), *REPEAT)) == brute.repeats(docs)
+    own = bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert [own.decode(i).decode() for i in own.encode_batch([x, y, x + " " + y])] == [x, y, x + " " + y]
+
+
+def test_equal_hashes_do_not_make_equal_pieces(monkeypatch):
+    raw = b"abcabcxyzab"
+    monkeypatch.setattr(bpe, "span_hash", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    starts = np.array([0, 3, 6, 9])
+    first, inverse = bpe._distinct(np.frombuffer(raw + bytes(8), np.uint8), starts, np.append(starts[1:], 11))
+    assert [raw[s : s + n] for s, n in zip(starts[first][inverse], (3, 3, 3, 2), strict=True)] == [b"abc", b"abc", b"xyz", b"ab"] and len(first) == 3
+
+
+def test_sets_alone_and_ranges(spark, monkeypatch):
+    """Few tokens a run and a range give the same groups."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "HEAVY", 4)
+    rng = random.Random(8)
+    base = [[f"b{k}w{i}" for i in range(60)] for k in range(3)]
+    data = []
+    for i in range(400):
+        w = list(base[i % 3])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"z{rng.randrange(50)}"
+        data.append((i, " ".join(w)))
+    data += [(500 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(80))) for i in range(50)] + [(600 + i, data[7][1]) for i in range(40)]
+    rng.shuffle(data)
+    got = sorted(rows(ngram_join.groups(frame(spark, data, "doc_id long, text string")), "doc_id", "n_shingles", "component_id"))
+    assert got == brute.jaccard_groups(data)
+
+
 def test_contamination_matches_brute_force(spark, documents):
     items = rows(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text")
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -284,6 +330,15 @@ def test_repeats_odd_cases(spark):
     assert sorted(r.n_removed for r in twice.collect()) == [0] + [len(passage.encode())] * 2
 
 
+def test_passage_in_every_document(spark):
+    """A passage in all documents, its edges different in each, and a text longer than a block of windows."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, long_ = text(260), text(700_000)
+    data = [(i, text(rng.randrange(120)) + passage + text(rng.randrange(120))) for i in range(300)] + [(400, long_), (401, text(50) + long_[300_000:600_000])]
+    assert sorted(rows(suffix_dedup.find(frame(spark, data, "doc_id long, text string")), *REPEAT)) == brute.repeats(data)
+
+
 def test_loser_tree_merges_with_common_prefixes():
     rng = random.Random(1)
     runs = [sorted((bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))), b"", i, k, 0) for k in range(rng.randrange(40))) for i in range(7)]

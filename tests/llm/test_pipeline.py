@@ -6,7 +6,7 @@ import corpus_pipeline as P
 import numpy as np
 import regex
 from tests.llm import brute
-from tracewell.llm import bpe
+from tracewell.llm import bpe, store
 
 SF = brute.SF
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,6 +60,25 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == [1, 5]
 
 
+def test_pipeline_of_empty_and_long_texts(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    word = lambda k, n: " ".join(f"the{k} cat{i % 97} sat{i}" for i in range(n))
+    long_ = word(1, 60_000)
+    for k, data in enumerate(([], [(1, long_, "en", "s", len(long_)), (2, long_[:-8] + "end.", "en", "s", len(long_)), (3, word(2, 50), "en", "s", 9)])):
+        docs = spark.createDataFrame(data, schema)
+        for j, (_, stage) in enumerate(P.STAGES):
+            stage(spark, docs, SF).write.parquet(str(tmp_path / f"{k}-{j}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}-{j}"))
+        assert sorted(r.doc_id for r in docs.collect()) == ([1, 3] if data else [])
+
+
+def test_pipeline_run_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(store, "shared_dir", lambda _: f"file://{tmp_path}")
+    got = P.run(spark, "/root/testdata/sf0.001")
+    assert got.count() and len(list(tmp_path.iterdir())) == 1
+
+
 def test_pipeline_judges_rows_not_ids(spark):
     item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 20)
     text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(8)]

@@ -21,11 +21,11 @@ def _short(h: np.ndarray) -> np.ndarray:
     return mix(np.array([total], np.uint64))
 
 
-def sets(texts: list) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of each text; empty for texts without words."""
+def sets(texts: list, seed: int = 0) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text, hashed under a seed; empty for texts without words."""
     with np.errstate(over="ignore"):
         for _, enc in chunks(texts):
-            w = Words(enc, NON_BLANK)
+            w = Words(enc, NON_BLANK, seed=seed)
             h = w.hash
             n = max(0, len(h) - SIZE + 1)
             total = np.zeros(n, np.uint64)
@@ -39,6 +39,6 @@ def sets(texts: list) -> Iterator[np.ndarray]:
                     yield _short(h[a:b]) if b > a else np.zeros(0, np.uint64)
 
 
-def key(tokens: np.ndarray) -> int:
-    """A digest of a set, as a signed 64-bit number."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(tokens: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,16 +31,42 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (a local session) one is made."""
+    """The folder named by spark.checkpoint.dir. A local session without one gets its own; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-tracewell-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-tracewell-")
+        base = _local[app]
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators write to the shared folder within is deleted at the end: their results must be written by then."""
+    kept = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[kept:]:
+            remove(spark, path)
+        del _made[kept:]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

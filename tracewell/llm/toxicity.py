@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import fold
-from .wordbytes import ALNUM, Words, chunks, prefix_hash, span_hash
+from .wordbytes import ALNUM, Words, chunks, span_hash
 
 SLOTS = 1 << 20
 TERMS = 1024
@@ -36,10 +36,9 @@ def _terms(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of each distinct term of each text."""
     w = Words(encoded, ALNUM)
     slots, of = [w.hash & np.uint64(SLOTS - 1)], [w.text_of]
-    s = prefix_hash(w.buf)
     for n in PREFIXES:
         (some,) = np.nonzero(w.ends - w.starts > n)
-        h = span_hash(s, w.starts[some], w.starts[some] + n)
+        h = span_hash(w.buf, w.starts[some], w.starts[some] + n)
         slots.append((h ^ np.uint64(0x5BD1E995 * n)) >> np.uint64(7) & np.uint64(SLOTS - 1))
         of.append(w.text_of[some])
     key = np.unique(np.concatenate(of).astype(np.int64) * SLOTS + np.concatenate(slots).astype(np.int64))

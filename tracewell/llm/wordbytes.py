@@ -1,21 +1,23 @@
 """Whole-text word scanning over UTF-8 bytes, vectorised over many texts at once.
 
-Texts are joined into one byte buffer with a blank between them; words are the maximal runs of bytes that a table
-marks. Every word gets a 64-bit polynomial hash from prefix sums, so no Python object is made for a word.
+Texts are joined into one byte buffer with blanks between them; words are the maximal runs of bytes that a table marks.
+Every word gets a 64-bit hash, eight bytes at a time, under a seed that a job draws for itself: nobody who writes a text
+can know which words collide, and words of up to eight bytes never do with others of their length. No Python object is
+made for a word, but for those over `LONG` bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 2 << 20
-_rng = np.random.RandomState(20240229)
-_BYTE = _rng.randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_pow = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+CHUNK = 256 << 10
+#: longer spans are hashed one by one
+LONG = 64
+_PAD = 8
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -44,28 +46,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow["up"]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, b in (("up", _BASE), ("down", _BASE_INV)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            _pow[k] = np.cumprod(a, dtype=np.uint64)
-    return _pow["up"][:n], _pow["down"][:n]
-
-
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of byte values times BASE**position over buf[i:j]."""
-    up, _ = powers(len(buf) + 1)
-    s = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[:-1], out=s[1:])
-    return s
-
-
-def span_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand."""
-    _, down = powers(len(s))
-    return mix((s[ends] - s[starts]) * down[starts])
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans of buf, equal for equal bytes wherever they stand; buf goes on for 8 bytes after them."""
+    size = ends - starts
+    h = mix(np.uint64(seed) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if not len(h):
+        return h
+    eight = np.ndarray(len(buf) - 7, "<u8", buffer=buf, strides=(1,))
+    h = mix(h ^ (eight[starts] & _MASK[np.minimum(size, 8)]))
+    for k in range(8, LONG, 8):
+        (live,) = np.nonzero(size > k)
+        if not len(live):
+            return h
+        h[live] = mix(h[live] ^ (eight[starts[live] + k] & _MASK[np.minimum(size[live] - k, 8)]))
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return h
 
 
 def parts(batches: Iterator, rows: int = 1000) -> Iterator:
@@ -92,25 +89,16 @@ def chunks(texts: list, size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
 class Words:
     """Words of a run of texts: byte spans, hashes, and the text each belongs to."""
 
-    def __init__(self, encoded: list[bytes], is_word: np.ndarray, lower: np.ndarray = LOWER) -> None:
+    def __init__(self, encoded: list[bytes], is_word: np.ndarray, lower: np.ndarray = LOWER, seed: int = 0) -> None:
         self.n_texts = len(encoded)
         lens = np.fromiter((len(b) for b in encoded), np.int64, len(encoded))
         self.text_start = np.concatenate(([1], 1 + np.cumsum(lens + 1)[:-1])) if len(lens) else np.zeros(0, np.int64)
         self.text_end = self.text_start + lens
-        self.buf = lower[np.frombuffer(b" " + b" ".join(encoded) + b" ", np.uint8)]
+        self.buf = lower[np.frombuffer(b" " + b" ".join(encoded) + b" " * (1 + _PAD), np.uint8)]
         edge = np.diff(is_word[self.buf].view(np.int8))
         self.starts = np.flatnonzero(edge == 1) + 1
         self.ends = np.flatnonzero(edge == -1) + 1
-        self.hash = span_hash(prefix_hash(self.buf), self.starts, self.ends)
+        self.hash = span_hash(self.buf, self.starts, self.ends, seed)
         #: word_at[i]:word_at[i + 1] are the words of text i
         self.word_at = np.concatenate((np.searchsorted(self.starts, self.text_start), [len(self.starts)]))
         self.text_of = np.repeat(np.arange(self.n_texts), np.diff(self.word_at))
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """The hashes that Words gives these words."""
-    out = np.zeros(len(words), np.uint64)
-    for i, w in enumerate(words):
-        b = np.frombuffer(w, np.uint8)
-        out[i] = span_hash(prefix_hash(b), np.array([0]), np.array([len(b)]))[0]
-    return out
