@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language_id, ngram_join, suffix_dedup, toxicity, url_filter, vector_join, warc
+from . import bpe, decontaminate, html_text, language_id, ngram_join, oracles, suffix_dedup, toxicity, url_filter, vector_join, warc
 from .store import ship, table
 
 
@@ -79,4 +79,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filter.SQL}
+    return {
+        "op3_url_filters": url_filter.SQL,
+        "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
+        "op6_decontamination": oracles.DECONTAMINATION,
+        "op7_warc": oracles.WARC,
+        "op8_embedding_near_dedup": oracles.VECTOR_JOIN,
+    }
