@@ -132,3 +132,17 @@ def test_networks_are_numbered_in_parts(spark):
     assert found == [(*r, k) for k, r in enumerate(sorted(map(tuple, rows.collect()), key=lambda r: (-r[1], r[2], r[0])), 1)]
     plan = got._jdf.queryExecution().analyzed().toString()
     assert "row_number() windowspecdefinition(_part" in plan and "row_number() windowspecdefinition(total_in_paise" not in plan
+
+
+def test_every_alias_and_mode(spark):
+    for logical, names in I.ALIASES.items():
+        for name in names:
+            assert I.resolve([name.upper().replace("_", " ") + " ", "other"])[logical]
+    assert I.resolve(["from_account", "Sender"])["sender"] == "Sender" and I.resolve(["src"])["sender"] is None
+    good = ("t", "SBIN00000001", "HDFC00000001", "1.00", "2026-01-01 10:00:00")
+    rows = [(*good, m, None) for m in [*I.MODES, "upi ", "netbanking"]] + [(*good, m, "bad_payment_mode") for m in ("ATM", "CASH", "CHEQUE", "", None)]
+    rows += [("t", " SBIN00000001", "HDFC00000001\n", "1.00", "2026-01-01 10:00:00", "UPI", "bad_sender_account;bad_receiver_account")]
+    raw = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, tx_id string, sender string, receiver string, sum string, time string, type string, want string")
+    got = I.judged(I.logical(raw.withColumn("ip", F.col("k").cast("string")))).select("ip", "reason", "sender_ifsc").collect()
+    assert {int(r.ip): r.reason for r in got} == {i: r[-1] for i, r in enumerate(rows)}
+    assert {r.sender_ifsc for r in got} == {"SBIN0001000"}

@@ -3,11 +3,21 @@
 import pytest
 
 from tests import oracle
-from tracewell.plans import registry
+from tracewell.plans import more, registry
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_case(spark):
+    """The stages of the analysis are computed once for all queries."""
+    shared = registry.case_of(spark, SF)
+    with pytest.MonkeyPatch.context() as patch:
+        for module in (registry, more):
+            patch.setattr(module, "case_of", lambda *_: shared)
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     got = registry.queries()[name](spark, SF).toPandas()

@@ -116,11 +116,11 @@ def timing(side: DataFrame) -> DataFrame:
     return gaps.filter("gap is not null").groupBy("acct").agg(F.when((F.count("gap") >= 2) & (F.avg("gap") > 0), even).alias("timing_regularity"))
 
 
-def features(tx: DataFrame) -> DataFrame:
-    """One row of measurements for every account of tx (transfers with flags)."""
+def features(tx: DataFrame, inflows: DataFrame | None = None, outflows: DataFrame | None = None) -> DataFrame:
+    """One row of measurements for every account of tx (transfers with flags); episodes are taken as given, if they are."""
     side = sides(tx)
-    inflows = inflow_episodes(tx)
-    outflows = episode_outflows(tx, inflows)
+    inflows = inflow_episodes(tx) if inflows is None else inflows
+    outflows = episode_outflows(tx, inflows) if outflows is None else outflows
     base = activity(side)
     parts = [base, flow(inflows, outflows), counterparties(side, base), hold(inflows, outflows), bursts(tx), ip_clusters(tx), timing(side)]
     j = reduce(lambda a, b: a.join(b, "acct", "left"), parts)
@@ -154,9 +154,16 @@ b AS (SELECT acct, count(*) AS tx_count, count(*) FILTER (is_in) AS n_in, count(
   count(*) FILTER (NOT is_in AND layering) AS of, count(*) FILTER (is_in AND layering) AS inf, count(DISTINCT device) FILTER (NOT is_in) AS devices,
   coalesce(bool_or(foreign_ip) FILTER (NOT is_in), false) AS bad_ip, count(DISTINCT ip) FILTER (NOT is_in) AS ips, avg(CASE WHEN amount_paise % {ROUND_PAISE} = 0 THEN 1.0 ELSE 0 END) FILTER (NOT is_in) AS structuring
   FROM side GROUP BY acct),
-fe AS (SELECT acct, ep, sum(out_amt) AS o, count(DISTINCT to_acct) AS r, median(lag_s) AS lag FROM ep_out GROUP BY acct, ep),
-ff AS (SELECT acct, least(in_total, o) AS fw, round(r / n_inflows) AS split, least(1.0, o / in_total) AS ratio, lag FROM fe JOIN ep_win USING (acct, ep)),
-fl AS (SELECT acct, sum(fw) AS fw, median(split) AS split, median(ratio) AS ratio, CASE WHEN count(*) > 1 THEN quantile_cont(ratio, 0.75) - quantile_cont(ratio, 0.25) END AS iqr, count(*) AS eps, median(lag) AS lag FROM ff GROUP BY acct),
+fl AS (
+  SELECT acct, sum(CASE WHEN x.sent < in_total THEN x.sent ELSE in_total END) AS fw, median(round(x.receivers / n_inflows)) AS split,
+    median(CASE WHEN x.sent < in_total THEN x.sent / in_total ELSE 1.0 END) AS ratio,
+    CASE WHEN count(*) > 1 THEN quantile_cont(CASE WHEN x.sent < in_total THEN x.sent / in_total ELSE 1.0 END, 0.75)
+      - quantile_cont(CASE WHEN x.sent < in_total THEN x.sent / in_total ELSE 1.0 END, 0.25) END AS iqr,
+    count(*) AS eps, median(x.lag) AS lag
+  FROM ep_win w, LATERAL (
+    SELECT sum(o.out_amt) AS sent, count(DISTINCT o.to_acct) AS receivers, median(o.lag_s) AS lag
+    FROM ep_out o WHERE o.acct = w.acct AND o.ep = w.ep HAVING count(*) > 0) x
+  GROUP BY acct),
 ho AS (SELECT acct, median(h) AS hold FROM (SELECT i.acct, i.in_key, (min(out_ts) - any_value(in_ts)) / 3600.0 AS h FROM ep_in i JOIN ep_out o ON i.acct = o.acct AND i.ep = o.ep AND out_ts >= in_ts GROUP BY i.acct, i.in_key) GROUP BY acct),
 pr AS (SELECT acct, cp, bool_or(is_in) AND bool_or(NOT is_in) AS mutual, count(*) FILTER (is_in) AS nf, coalesce(sum(amount_paise) FILTER (is_in), 0) AS af, count(DISTINCT CAST(ts AS DATE)) FILTER (is_in) AS days FROM side GROUP BY acct, cp),
 cp AS (SELECT pr.acct, avg(CASE WHEN mutual THEN 1.0 ELSE 0 END) AS reciprocity, sum(CASE WHEN days >= {RECURRING_DAYS} THEN nf ELSE 0 END) / nullif(sum(nf), 0) AS recurring,

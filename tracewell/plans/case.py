@@ -28,19 +28,19 @@ class Case:
 
     @cached_property
     def inflows(self) -> DataFrame:
-        return E.inflow_episodes(self.tx)
+        return cut(E.inflow_episodes(self.tx))
 
     @cached_property
     def outflows(self) -> DataFrame:
-        return E.episode_outflows(self.tx, self.inflows)
+        return cut(E.episode_outflows(self.tx, self.inflows))
 
     @cached_property
     def features(self) -> DataFrame:
-        return cut(FE.features(self.tx))
+        return cut(FE.features(self.tx, self.inflows, self.outflows))
 
     @cached_property
     def pass1(self) -> DataFrame:
-        return S.score(self.features, self.profile)
+        return cut(S.score(self.features, self.profile))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -52,7 +52,7 @@ class Case:
 
     @cached_property
     def relations(self) -> DataFrame:
-        return S.relations(T.sides(self.tx), self.pass1, self.links)
+        return cut(S.relations(T.sides(self.tx), self.pass1, self.links))
 
     @cached_property
     def pass2(self) -> DataFrame:

@@ -267,19 +267,28 @@ def status_counts(spark, sf_dir):
 # ingest: the transfers as raw text, some rows broken by rule
 
 
+_FORMS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss"]
+_UNKNOWN = ["BARTER", "ATM", "CASH", "CHEQUE"]
+
+
 def _raw(spark, sf_dir):
+    """Every payment mode and time format, and rows that break each of the ten rules."""
     tx = T.transfers(spark, sf_dir)
     k = F.col("tx_key")
-    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / n) % len(values) + 1).cast("int"))
+    text = F.coalesce(*(F.when(k % len(_FORMS) == i, F.date_format("ts", f)) for i, f in enumerate(_FORMS)))
     amount = (F.col("amount_paise") / 100).cast("decimal(18,2)").cast("string")
+    mode = of(I.MODES, 1)
     return tx.select(
         "tx_key",
         F.when(k % 101 == 0, " ").otherwise(F.col("tx_id")).alias("Transaction ID"),
         F.when(k % 103 == 0, F.lit("bad-1")).otherwise(T.account_number(F.col("src"))).alias("From_Account"),
-        T.account_number(F.col("dst")).alias("to_account"),
+        F.when(k % 137 == 0, F.concat(F.lit(" "), T.account_number(F.col("dst")))).otherwise(T.account_number(F.col("dst"))).alias("to_acc"),
+        F.when(k % 139 == 0, "SBIN1").otherwise("SBIN0000001").alias("src_ifsc"),
+        F.when(k % 149 == 0, "HDFC0000001 ").otherwise("HDFC0000001").alias("Receiver Bank IFSC"),
         F.when(k % 107 == 0, "12x").when(k % 109 == 0, "-5").when(k % 113 == 0, "1.005").otherwise(amount).alias("Amt"),
         F.when(k % 127 == 0, "yesterday").otherwise(text).alias("date"),
-        F.when(k % 131 == 0, "BARTER").otherwise(F.lower("mode")).alias("Mode"),
+        F.when(k % 131 == 0, of(_UNKNOWN, 131)).when(k % 2 == 0, F.lower(mode)).otherwise(F.concat(mode, F.lit(" "))).alias("Channel"),
     )
 
 
@@ -288,9 +297,21 @@ def _logical(spark, sf_dir):
     return I.logical(raw.drop("tx_key")), raw
 
 
-_RAW_SQL = f"""{TX}, raw AS (SELECT tx_key, list_filter([CASE WHEN tx_key % 101 = 0 THEN 'empty_transaction_id' END, CASE WHEN tx_key % 103 = 0 THEN 'bad_sender_account' END, CASE WHEN tx_key % 127 = 0 THEN 'bad_timestamp' END,
-  CASE WHEN tx_key % 107 = 0 THEN 'non_numeric_amount' END, CASE WHEN tx_key % 107 <> 0 AND tx_key % 109 = 0 THEN 'non_positive_amount' END, CASE WHEN tx_key % 107 <> 0 AND tx_key % 109 <> 0 AND tx_key % 113 = 0 THEN 'sub_paise_amount' END,
-  CASE WHEN tx_key % 131 = 0 THEN 'bad_payment_mode' END], lambda x: x IS NOT NULL) AS reasons, tx_id, src, dst, amount_paise, ts_sec FROM tx)"""
+_BROKEN = {
+    "empty_transaction_id": "tx_key % 101 = 0",
+    "bad_sender_account": "tx_key % 103 = 0",
+    "bad_receiver_account": "tx_key % 137 = 0",
+    "bad_sender_ifsc": "tx_key % 139 = 0",
+    "bad_receiver_ifsc": "tx_key % 149 = 0",
+    "bad_timestamp": "tx_key % 127 = 0",
+    "non_numeric_amount": "tx_key % 107 = 0",
+    "non_positive_amount": "tx_key % 107 <> 0 AND tx_key % 109 = 0",
+    "sub_paise_amount": "tx_key % 107 <> 0 AND tx_key % 109 <> 0 AND tx_key % 113 = 0",
+    "bad_payment_mode": "tx_key % 131 = 0",
+}
+_REASONS = ",\n  ".join(f"CASE WHEN {when} THEN '{code}' END" for code, when in _BROKEN.items())
+_RAW_SQL = f"""{TX}, raw AS (SELECT tx_key, list_filter([{_REASONS}], lambda x: x IS NOT NULL) AS reasons,
+  tx_id, src, dst, amount_paise, ts_sec FROM tx)"""
 
 
 @query(f"WITH {_RAW_SQL} SELECT array_to_string(reasons, ';') AS reason, count(*) AS n FROM raw WHERE len(reasons) > 0 GROUP BY 1")
