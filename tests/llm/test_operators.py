@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -263,6 +264,24 @@ def test_html_shards_do_not_change_results(spark, monkeypatch):
     assert sorted(rows(html_text.extract(pages, 7), "page_id", "text")) == sorted(want.items())
 
 
+def test_html_near_copies_keep_their_text(spark):
+    words = [f"word{i}" for i in range(61)]
+    pages = [" ".join(words), " ".join(words[:30] + ["other"] + words[31:])]
+    data = [(i, f"http://two/{i}", f"<p>{t}</p>") for i, t in enumerate(pages)] + [(10 + i, f"http://many/{i}", f"<p>{t}</p>") for i, t in enumerate(pages)]
+    data += [(20 + i, f"http://many/x{i}", "<p>" + " ".join(f"p{i}w{k}" for k in range(40)) + "</p>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract(frame(spark, data, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (0, 1, 10, 11)] == pages * 2 and len(got[25].split()) == 40
+
+
+def test_html_malformed_markup_takes_linear_time():
+    for piece in ("<p ", '<a x="', "<a x='", "<", "</", "<!", "<!--", "<script>", "<a b", "<a ' \"> ", "<svg/>a"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.time()
+        html_text.blocks(page)
+        assert time.time() - began < 5, piece
+    assert html_text.blocks("a<svg/>b<!-- c -->d<a x='>'>e</a><title>f</title>g < h") == [(False, "abdeg < h")]
+
+
 def test_html_task_sends_a_page_once(spark):
     """Copies of a page, equal in html or in stream only, leave a task as one row; shards are cut by bytes too."""
     data = [(i, "http://h/1", f"<head><title>{i % 7}</title></head><p>gone away</p>") for i in range(900)] + [(i, None, None) for i in range(500)]

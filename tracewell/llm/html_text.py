@@ -5,7 +5,9 @@ notices, adverts, forms, scripts, styles, reader comments) are left out with all
 are joined into one stream of tokens, with a mark at every block's end, and its suffixes are sorted by their first
 `RUN` tokens; places that share them are neighbours. Long substrings found so on enough distinct pages are boilerplate:
 
-* on pages without an article or main element, on at least `OPEN_PAGES` distinct pages of the host;
+* on pages without an article or main element, on at least `OPEN_PAGES` distinct pages of the host; but where more than
+  half of a page would go, only what stands on `SHARE` of the host's pages and `MOST_PAGES` of them: near copies of a page
+  keep their text, pages that are mostly menu lose the menu;
 * within an article, on at least `SHARE` of the host's pages and `MIN_PAGES` of them; an article of which more than half
   would go is a copy of others, not boilerplate, and stays whole.
 
@@ -42,6 +44,7 @@ RUN = 8
 SHARE = 0.8
 MIN_PAGES = 8
 OPEN_PAGES = 2
+MOST_PAGES = 3
 SHARD = 2000
 SHARD_BYTES = 32 << 20
 #: tables up to so many rows (hosts, runs) are broadcast, else joined
@@ -65,17 +68,50 @@ TITLED = {"h1", "h2", "h3", "h4", "h5", "h6", "p"} | INLINE
 IN_HEAD = {"head", "meta", "link", "base", "basefont", "bgsound", "noframes"}
 CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 
-_TOKEN = re.compile(
-    r"<!--(?s:.*?)(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?>(?:[^<>\"']+|\"[^\"]*\"|'[^']*')*)|[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.IGNORECASE,
-)
+_NAME = re.compile(r"</?([a-z][a-z0-9:-]*)", re.IGNORECASE)
+#: attributes up to the end of a tag; a quote that nothing closes makes no match
+_ATTRS = re.compile(r"""(?>(?:[^<>"']+|"[^"]*"|'[^']*')*)>""")
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, whether it closes, attributes) of what isn't text; comments and raw elements have no name.
+
+    Nothing is read twice but what a quote spans, so malformed markup takes no longer than other markup.
+    """
+    at, last = 0, page.rfind(">")
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = len(page) if end < 0 else end + 3
+            yield begin, at, "", False, ""
+            continue
+        if begin > last:
+            return
+        name = _NAME.match(page, begin)
+        if not name:
+            if page[begin + 1 : begin + 2] in ("!", "?", "/"):
+                at = page.index(">", begin) + 1
+                yield begin, at, "", False, ""
+            else:
+                at = begin + 1
+            continue
+        attrs = _ATTRS.match(page, name.end())
+        end = attrs.end() if attrs else page.index(">", name.end()) + 1
+        tag, closes, rest = name[1].lower(), page[begin + 1] == "/", page[name.end() : end - 1]
+        if tag in _CLOSE and not closes:
+            at = end
+            if not (tag in ("svg", "math") and rest.endswith("/")):
+                close = _CLOSE[tag].search(page, end)
+                at = close.end() if close else len(page)
+            yield begin, at, "", False, ""
+        else:
+            at = end
+            yield begin, at, tag, closes, rest
+
+
 def _named(name: str) -> bool:
     """Whether a class or id is a name of chrome: a word for it, alone or compounded with such words or those of BESIDE."""
     words = _WORD.findall(name)
@@ -129,23 +165,22 @@ def blocks(page: str) -> list[tuple[bool, str]]:
         while count.get("head"):
             pop()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and count.get("head") and not page[at : m.start()].isspace():
+    for begin, end, tag, closes, attrs in tags(page):
+        if begin > at and count.get("head") and not page[at:begin].isspace():
             end_head()
-        if m.start() > at and not chrome:
-            held.append(_html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+        if begin > at and not chrome:
+            held.append(_html.unescape(page[at:begin]))
+        at = end
         if not tag:
             continue
         if count.get("head"):
-            if not m["end"] and tag == "head":
+            if not closes and tag == "head":
                 continue
-            if not m["end"] and tag not in IN_HEAD:
+            if not closes and tag not in IN_HEAD:
                 end_head()
         if tag not in INLINE:
             flush()
-        if m["end"]:
+        if closes:
             if count.get(tag):
                 while stack[-1][0] != tag:
                     pop()
@@ -153,9 +188,9 @@ def blocks(page: str) -> list[tuple[bool, str]]:
         elif tag not in VOID:
             if stack and (stack[-1][0] == "p" and tag not in INLINE or stack[-1][0] in (tag, CLOSES.get(tag)) and tag in CLOSES):
                 pop()
-            if m["attrs"].endswith("/") and tag not in ("p", "div"):
+            if attrs.endswith("/") and tag not in ("p", "div"):
                 continue
-            was = _is_chrome(tag, m["attrs"], article > 0)
+            was = _is_chrome(tag, attrs, article > 0)
             if was or tag in ("article", "main"):
                 flush()
             stack.append((tag, was))
@@ -307,7 +342,8 @@ def _count_named(pages: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def boilerplate(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """host, run, own: runs to be cut from the pages of each host, within articles too (own) or only from others.
+    """host, run, level: runs to be cut from the pages of each host: 2 within articles too, 1 from any other page, 0 from
+    pages of which that leaves half.
 
     hosts: host, shards, has_open of the hosts that have several shards.
     """
@@ -323,11 +359,12 @@ def boilerplate(pages: DataFrame, hosts: DataFrame) -> DataFrame:
         counts = counts.join(names, ["host", "run"], "left_anti").unionByName(_count_named(some, names))
     runs = counts.filter("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n"))
     size = counts.filter("run is null").groupBy("host").agg(F.sum("n").alias("size"))
-    own = F.col("n") >= F.greatest(F.lit(MIN_PAGES), F.ceil(F.lit(SHARE) * F.col("size")))
-    return runs.join(size, "host").select("host", "run", own.alias("own"), "n").filter(own | (F.col("n") >= OPEN_PAGES)).drop("n")
+    most = F.col("n") >= F.ceil(F.lit(SHARE) * F.col("size"))
+    level = F.when(most & (F.col("n") >= MIN_PAGES), 2).when(most & (F.col("n") >= MOST_PAGES), 1).otherwise(0)
+    return runs.join(size, "host").filter((F.col("n") >= OPEN_PAGES) | (level > 0)).select("host", "run", level.alias("level"))
 
 
-def clean(streams: list[str], article: np.ndarray, runs: np.ndarray, own: np.ndarray) -> list[str]:
+def clean(streams: list[str], article: np.ndarray, runs: np.ndarray, level: np.ndarray) -> list[str]:
     """The texts of pages of a host without its boilerplate."""
     out = [s.replace(f" {_MARK} ", " ") for s in streams]
     if not len(runs):
@@ -336,16 +373,25 @@ def clean(streams: list[str], article: np.ndarray, runs: np.ndarray, own: np.nda
     h = run_hash(w.hash)
     at = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
     (bad,) = np.nonzero((runs[at] == h) & (np.arange(len(h)) + RUN <= last[: len(h)]))
-    bad = bad[~article[w.text_of[bad]] | own[at[bad]]]
-    if len(bad):
-        edge = np.bincount(bad, minlength=len(w.hash) + 1) - np.bincount(bad + RUN, minlength=len(w.hash) + RUN + 1)[: len(w.hash) + 1]
-        covered = np.cumsum(edge)[: len(w.hash)] > 0
-        n = np.bincount(w.text_of[covered], minlength=len(streams))
-        for i in np.flatnonzero(n):
-            a, b = w.word_at[i], w.word_at[i + 1]
-            if article[i] and 2 * n[i] > b - a:
-                continue
-            out[i] = " ".join(x for x, c in zip(streams[i].split(" "), covered[a:b], strict=True) if not c and x != _MARK)
+    if not len(bad):
+        return out
+    level, of, size = level[at[bad]], w.text_of[bad], np.diff(w.word_at)
+
+    def covered(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that lie in runs of the level that their page asks for, and their number by page."""
+        cut = bad[level >= least[of]]
+        edge = np.bincount(cut, minlength=len(w.hash) + RUN) - np.bincount(cut + RUN, minlength=len(w.hash) + RUN)
+        hit = np.cumsum(edge)[: len(w.hash)] > 0
+        return hit, np.bincount(w.text_of[hit], minlength=len(streams))
+
+    least = np.where(article, 2, 0)
+    _, n = covered(least)
+    hit, n = covered(np.where(~article & (2 * n > size), 1, least))
+    for i in np.flatnonzero(n):
+        if article[i] and 2 * n[i] > size[i]:
+            continue
+        a, b = w.word_at[i], w.word_at[i + 1]
+        out[i] = " ".join(x for x, c in zip(streams[i].split(" "), hit[a:b], strict=True) if not c and x != _MARK)
     return out
 
 
@@ -360,7 +406,7 @@ def extract(pages: DataFrame, shard: int = SHARD, shard_bytes: int = SHARD_BYTES
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
     hosts = small(materialise(shards(parse(pages), shard, shard_bytes), "hosts"), BROADCAST_ROWS)
     runs = materialise(boilerplate(pages, hosts), "runs")
-    none = [np.zeros(0, np.int64), np.zeros(0, bool)]
+    none = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
     if runs.count() <= BROADCAST_RUNS:
         known = pages.sparkSession.sparkContext.broadcast(_by_host(runs))
@@ -381,11 +427,11 @@ def extract(pages: DataFrame, shard: int = SHARD, shard_bytes: int = SHARD_BYTES
 
     def cut(key: tuple, pdf: pd.DataFrame, bad: pd.DataFrame) -> pd.DataFrame:
         bad = bad.sort_values("run")
-        got = clean(pdf["stream"].tolist(), pdf["article"].to_numpy(bool), bad["run"].to_numpy(np.int64), bad["own"].to_numpy(bool))
+        got = clean(pdf["stream"].tolist(), pdf["article"].to_numpy(bool), bad["run"].to_numpy(np.int64), bad["level"].to_numpy(np.int64))
         return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": got, "n_chars": [len(t) for t in got]})
 
     # dealt by row, not by stream: copies of a page go to all of their host's shards
     rows = parse(pages).join(hosts, "host", "left").withColumn("salt", F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "shards")))
     runs = runs.join(hosts, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shards", F.lit(1)) - 1)))
-    rows, runs = rows.select("host", F.col("salt").cast("long").alias("salt"), "page_id", "url", "article", "stream"), runs.select("host", "salt", "run", "own")
+    rows, runs = rows.select("host", F.col("salt").cast("long").alias("salt"), "page_id", "url", "article", "stream"), runs.select("host", "salt", "run", "level")
     return rows.groupBy("host", "salt").cogroup(runs.groupBy("host", "salt")).applyInPandas(cut, OUT)
