@@ -31,7 +31,7 @@ from .wordbytes import LONG, parts, span_hash
 
 CACHE = 100_000
 #: characters encoded at once; a longer text stands alone
-SLICE = 1 << 20
+SLICE = 1 << 19
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = 1 << 30
 
@@ -317,11 +317,12 @@ _classes: list[np.ndarray] = []
 
 def _class_table() -> np.ndarray:
     if not _classes:
-        every = "".join(map(chr, range(0x110000)))
         t = np.full(0x110000, _OTHER, np.uint8)
-        for k, p in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\s+")):
-            for m in regex.finditer(p, every):
-                t[m.start() : m.end()] = k
+        for low in range(0, len(t), 1 << 14):
+            some = "".join(map(chr, range(low, low + (1 << 14))))
+            for k, p in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\s+")):
+                for m in regex.finditer(p, some):
+                    t[low + m.start() : low + m.end()] = k
         _classes.append(t)
     return _classes[0]
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordbytes import ALNUM, Words, chunks
+from .wordbytes import ALNUM, Words, chunks, parts
 
 N = 13
 SAMPLE = 16
@@ -224,7 +224,7 @@ def _pass(docs: DataFrame, items: list[tuple[str | None, str | None]], shard_byt
             arrays.append(pa.array([sorted(x) for x in items], pa.list_(pa.string())))
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
 
-        for batch in batches:
+        for batch in parts(batches):
             col = batch.column("doc_id")
             for at, enc in chunks(batch.column("text").to_pylist()):
                 shard.add(enc)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordbytes import byte_class, chunks
+from .wordbytes import byte_class, chunks, parts
 
 BUCKETS = 1 << 15
 ALPHA = 0.05
@@ -70,7 +70,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in parts(batches):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for at, enc in chunks(_texts(batch.column("text"))):
                 g = _Grams(enc, buckets)
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             raw = batch.column("text").to_pylist()
             pred, got, said = np.full(len(raw), len(langs)), np.zeros(len(raw)), [""] * len(raw)
             for at, enc in chunks(["" if t is None else t.lower() for t in raw]) if langs else ():

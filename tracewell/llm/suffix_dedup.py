@@ -281,7 +281,7 @@ def _resolve(merged: Iterator[tuple[int, tuple]]) -> pd.DataFrame:
 def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) and spans, for every row of docs.
 
-    carry: further columns of docs to hand on, in a struct named rest.
+    carry: further columns of docs to hand on, in a struct named rest; kept is text then, without characters cut into.
     """
     spark = docs.sparkSession
     rest = F.struct(*carry) if carry else F.lit(None).cast("int")
@@ -322,30 +322,46 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     table = materialise(source.select("doc_id", "text", "row").mapInArrow(contexts, "doc_id long, row long, lo long, place long, text binary"), "contexts")
     spans = _merge_spans(table)
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            for at, enc in chunks(batch.column("text").to_pylist()):
-                a = Anchors(enc)
-                (k,) = np.nonzero(twice.value.has(a.hash))
-                bounds = np.searchsorted(a.text[k], np.arange(len(enc) + 1))
-                lo, hi = a.lo[k], a.hi[k]
-                part = batch.slice(at, len(enc))
-                some = np.diff(bounds) > 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("rest"), pa.array(enc, pa.binary())]
-                    + [pa.array([x[p:q] if s else None for p, q, s in zip(bounds[:-1], bounds[1:], some, strict=True)], pa.list_(pa.int64())) for x in (lo, hi)],
-                    ["row", "doc_id", "rest", "raw", "lo", "hi"],
-                )
-
     kind = source.schema["rest"].dataType.simpleString()
-    routes = source.mapInArrow(routed, f"row long, doc_id long, rest {kind}, raw binary, lo array<long>, hi array<long>")
     known = firsts.groupBy("row").agg(F.collect_list("lo").alias("first")).join(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("more")), "row", "full")
-    # texts without repeated anchors need nothing from the others: their text stays null in the exchange
-    out = routes.withColumn("ready", F.when(F.col("lo").isNull(), F.sha2("raw", 256))).withColumn("n_bytes", F.octet_length("raw").cast("long"))
-    if not carry:
-        out = out.withColumn("raw", F.when(F.col("lo").isNotNull(), F.col("raw")))
-    out = out.join(known, "row", "left")
-    return out.mapInArrow(_remove, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>, rest {kind}")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+    as_text = carry is not None
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 500):
+            cols = [batch.column(c).to_pylist() for c in ("doc_id", "first", "more")]
+            for at, enc in chunks(batch.column("text").to_pylist()):
+                a, rows = Anchors(enc), []
+                (k,) = np.nonzero(twice.value.has(a.hash))
+                bounds, lo, hi = np.searchsorted(a.text[k], np.arange(len(enc) + 1)).tolist(), a.lo[k].tolist(), a.hi[k].tolist()
+                for i, raw in enumerate(enc):
+                    doc_id, first, more = (c[at + i] for c in cols)
+                    stay, own = set(first or ()), range(bounds[i], bounds[i + 1])
+                    merged = _merged([(lo[j], hi[j] + N) for j in own if lo[j] not in stay] + [(m["start"], m["end"]) for m in more or ()])
+                    cuts = [0, *(x for m in merged for x in m), len(raw)]
+                    kept = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
+                    rows.append((doc_id, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [{"start": x, "end": y} for x, y in merged]))
+                made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+                if as_text:
+                    made[5] = pa.array([r[5].decode("utf-8", "ignore") for r in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([*made, batch.column("rest").slice(at, len(enc))], [*names, "rest"])
+
+    # texts wait for what is known of them in one exchange, or in none where that is small
+    rows = source.join(known, "row", "left").select("doc_id", "text", "rest", "first", "more")
+    kept = "string" if as_text else "binary"
+    return rows.mapInArrow(remove, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kept}, spans array<struct<start:long,end:long>>, rest {kind}")
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans in order, those that meet or overlap as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def _merge_spans(table: DataFrame) -> DataFrame:
@@ -433,43 +449,11 @@ def _merge_spans(table: DataFrame) -> DataFrame:
     return materialise(merged.unionByName(covered), "spans")
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    for batch in parts(batches):
-        cols = {c: batch.column(c).to_pylist() for c in ("raw", "lo", "hi", "first", "more", "ready")}
-        rows = []
-        for raw, lo, hi, first, more, ready in zip(*cols.values(), strict=True):
-            if ready is not None:
-                rows.append((0, 0, ready, raw, []))
-                continue
-            stay = set(first or ())
-            spans = [(a, b + N) for a, b in zip(lo, hi, strict=True) if a not in stay] + [(m["start"], m["end"]) for m in more or ()]
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            cuts = [0, *(x for m in merged for x in m), len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-            rows.append((len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in merged]))
-        made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made, batch.column("rest")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "rest"])
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """The rows of docs, in its columns, with the text that find() leaves; characters cut into go too. Null stays null.
 
     An n_chars column is counted anew.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            text = pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), text], ["rest", "kept"])
-
-    found = find(docs, docs.columns).select("rest", "kept")
-    kind = found.schema["rest"].dataType.simpleString()
-    out = found.mapInArrow(run, f"rest {kind}, kept string").withColumn("kept", F.when(F.col("rest.text").isNotNull(), F.col("kept")))
+    out = find(docs, docs.columns).select("rest", F.when(F.col("rest.text").isNotNull(), F.col("kept")).alias("kept"))
     put = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.select(*((put[c] if c in put else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))

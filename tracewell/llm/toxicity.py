@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import fold
-from .wordbytes import ALNUM, Words, chunks, span_hash
+from .wordbytes import ALNUM, Words, chunks, parts, span_hash
 
 SLOTS = 1 << 20
 TERMS = 1024
@@ -60,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, SLOTS + 1), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             y = batch.column("toxic").to_numpy()
             for at, enc in chunks(batch.column("text").to_pylist()):
                 of, slot = _terms(enc)
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine:
     known = spark.sparkContext.broadcast(terms)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             y = batch.column("toxic").to_numpy()
             for at, enc in chunks(batch.column("text").to_pylist()):
                 rows = [[] for _ in enc]
@@ -155,7 +155,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             s = np.concatenate([np.zeros(0), *(shared.value.score(enc) for _, enc in chunks(batch.column("text").to_pylist()))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

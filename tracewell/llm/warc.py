@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import new_path
+from .wordbytes import parts
 
 MIN_REVISIT = 1000
 #: revisited digests up to this many (of 50 bytes) are broadcast, else joined
@@ -85,7 +86,7 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, out, n = f"{folder}/mono-{TaskContext.get().partitionId():06d}.warc.gz", None, 0
-        for batch in batches:
+        for batch in parts(batches, 500):
             for r in batch.to_pylist():
                 if out is None:
                     out = _Move(uri)
