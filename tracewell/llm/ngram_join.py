@@ -11,8 +11,9 @@ of each set). The order used puts tokens last that are frequent somewhere; which
 share such a token form blocks, cut by size so that only sets of comparable size meet. First each set is compared with
 the smallest set of its best block; blocks that span several components afterwards are joined by signature trees: nodes
 hold OR-combined token bitmaps and size ranges, and a dual traversal skips node pairs whose largest possible overlap is
-too small, or which lie in one component already. What remains is verified on the whole sets. First one candidate is
-tried for each pair of components in a block; then all that still lie apart.
+too small, or which lie in one component already. What remains is verified on the whole sets. First the likeliest
+candidate of each component in a block is tried, again as long as most of them hold: so a group of copies is tied
+together by a number of pairs in proportion to its size. Then all pairs that still lie apart are tried.
 
 Blocks over `BLOCK` members are cut into parts: a component with so many members fills parts of its own, the others
 share parts. Each pair of parts is one task's cell, unless both hold the same component.
@@ -373,7 +374,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _may_link(cell: list[list], every: bool) -> list[tuple[int, int]]:
-    """Pairs of keys of a cell's rows (key, n, comp, map) that may link; unless every, the likeliest of each pair of components."""
+    """Pairs of keys of a cell's rows (key, n, comp, map) that may link; unless every, the likeliest of each component."""
     if len(cell) < 2:
         return []
     if len(cell) == 2:  # the tree of two leaves, without its arrays
@@ -382,11 +383,10 @@ def _may_link(cell: list[list], every: bool) -> list[tuple[int, int]]:
     keys, n, comp = (np.array([r[k] for r in cell], np.int64) for k in range(3))
     i, j, common = SignatureTree(n, comp, [r[3] for r in cell]).pairs()
     if not every:
-        best = np.lexsort((-common / np.minimum(n[i], n[j]), np.maximum(comp[i], comp[j]), np.minimum(comp[i], comp[j])))
+        best = np.argsort(-common / np.minimum(n[i], n[j]), kind="stable")
         i, j = i[best], j[best]
-        x, y = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(i)]
-        i, j = i[new], j[new]
+        first = np.union1d(np.unique(comp[i], return_index=True)[1], np.unique(comp[j], return_index=True)[1])
+        i, j = i[first], j[first]
     return list(zip(keys[i].tolist(), keys[j].tolist(), strict=True))
 
 
@@ -429,9 +429,16 @@ def groups(docs: DataFrame) -> DataFrame:
     members = materialise(lead.join(tokens, "token"), "members")
     tried = members.filter("key <> pivot").groupBy("key", "pivot").agg(F.count("*").alias("common")).groupBy("key").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("b"))
     links = _verify(_bounded(materialise(tried.select(F.col("key").alias("a"), "b"), "tried"), reps), reps)
-    for every in (False, True):
+    every = False
+    while True:
         spread = _with_component(members.select("token", "key", "n"), links)
-        links = links.unionByName(_verify(_candidates(spread, reps, every), reps))
+        pairs = _candidates(spread, reps, every)
+        found = _verify(pairs, reps)
+        links = links.unionByName(found)
+        if every:
+            break
+        # as long as most of the likeliest pairs hold, components grow and fewer pairs are left
+        every = 2 * found.count() <= pairs.count()
     stars = components(links).withColumnRenamed("id", "key")
     named = sets.join(stars, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", F.col("n").alias("size"), "component_id")
