@@ -18,6 +18,7 @@ by one. Null item_ids are not counted as items, but their windows hit. Other col
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +121,9 @@ class Phrases:
     """Distinct windows of benchmark items, as symbols of the benchmark's vocabulary, and the items that have them."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]) -> None:
-        w = Words([b"" if t is None else t.encode("utf-8", "replace") for _, t in items], ALNUM)
+        #: words are hashed under a seed of this job: nobody can write a word that passes for an item's
+        self.seed = secrets.randbits(64)
+        w = Words([b"" if t is None else t.encode("utf-8", "replace") for _, t in items], ALNUM, seed=self.seed)
         self.vocabulary, symbol = np.unique(w.hash, return_inverse=True)
         symbol = symbol + 1
         rows: dict[tuple[int, ...], set[str]] = {}
@@ -157,7 +160,7 @@ class _Shard:
         self.n_docs = self.n_bytes = 0
 
     def add(self, encoded: list[bytes]) -> None:
-        w = Words(encoded, ALNUM)
+        w = Words(encoded, ALNUM, seed=self.phrases.seed)
         counts = np.diff(w.word_at)
         self.n_words.append(counts)
         if len(w.hash) and len(self.phrases.rows):
