@@ -301,7 +301,29 @@ def cell_members(spark, sf_dir):
     return case_of(spark, sf_dir).cell_members.select("l1", "acct", "is_victim", "role", "holding")
 
 
-@query()
+def _reweighted(sql: str) -> str:
+    """The score SQL with weight 30 for MP1 and 5 for MP4."""
+    few = "tx_count / (SELECT median(tx_count) FROM feat)"
+    changes = {
+        _ramp_sql("pass_through_share", 20.0, 0.9, 0.6): _ramp_sql("pass_through_share", 30.0, 0.9, 0.6),
+        _ramp_sql(few, 15.0, 0.3, 0.5, up=False): _ramp_sql(few, 5.0, 0.3, 0.5, up=False),
+        "mp1 >= 10 ": "mp1 >= 15 ",
+        "mp4 >= 7.5 ": "mp4 >= 2.5 ",
+    }
+    for a, b in changes.items():
+        sql = sql.replace(a, b)
+    return sql
+
+
+_SHOWN = ["final_index", "is_flagged", "band", "role"]
+_BOTH = ", ".join(f"b.{c} AS {c}_before, a.{c} AS {c}_after" for c in _SHOWN[1:])
+
+
+@query(
+    f"""WITH b AS (WITH {ROLES} SELECT acct, {", ".join(_SHOWN)} FROM roles), a AS (WITH {_reweighted(ROLES)} SELECT acct, {", ".join(_SHOWN)} FROM roles)
+    SELECT acct, round(b.final_index, 6) AS final_index_before, round(a.final_index, 6) AS final_index_after, {_BOTH} FROM b JOIN a USING (acct)
+    WHERE abs(b.final_index - a.final_index) > 1e-9 OR {" OR ".join(f"b.{c} IS DISTINCT FROM a.{c}" for c in _SHOWN[1:])}"""
+)
 def preview_diff(spark, sf_dir):
     """What would change with more weight on pass-through and less on low activity."""
     c = case_of(spark, sf_dir)
@@ -309,7 +331,7 @@ def preview_diff(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import more  # noqa: F401  it registers its queries here
+    from . import more, movement  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 
