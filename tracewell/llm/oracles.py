@@ -71,3 +71,31 @@ link AS (
 degree AS (SELECT x AS id, count(*) AS n FROM both_ways GROUP BY x)
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
 FROM component LEFT JOIN degree USING (id)"""
+
+_SAID = "left(sha256(length(role) || ':' || role || text), 32)"
+
+PREFIX_TRIE = rf"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+said AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, {_SAID}) AS pos FROM said),
+conv AS (
+  SELECT c, c - c % 20 AS base, n,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM own GROUP BY c), crc_table),
+placed AS (
+  SELECT conv.c, pos AS d, role, text FROM conv JOIN own ON own.c = base AND pos <= h
+  UNION ALL SELECT conv.c, pos - conv.h + least(conv.h, coalesce(b.n, 0)), role, text FROM conv JOIN own ON own.c = conv.c AND pos > conv.h LEFT JOIN conv b ON b.c = conv.base),
+seq AS (SELECT conv.c, list(struct_pack(role, text) ORDER BY d) FILTER (d IS NOT NULL) AS s FROM conv LEFT JOIN placed USING (c) GROUP BY conv.c),
+member AS (SELECT c, d, coalesce(s, [])[1:d] AS p, coalesce(len(s), 0) = d AS is_end FROM (SELECT c, s, unnest(range(0, coalesce(len(s), 0) + 1)) AS d FROM seq)),
+node AS (
+  SELECT p, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (is_end), '')) AS ends_sha256
+  FROM member GROUP BY p),
+child AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+worth AS (
+  SELECT node.p, d, child.n IS NULL AS leaf, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node.p[d].text, '[^ 	-]+')) END AS saved
+  FROM node LEFT JOIN child ON child.p = node.p),
+total AS (SELECT p[1:k] AS p, count(*) FILTER (leaf) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM worth) GROUP BY 1)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN total ON total.p = node.p LEFT JOIN child ON child.p = node.p LEFT JOIN node up ON node.d > 0 AND up.p = node.p[1:node.d - 1]"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language_id, ngram_join, oracles, suffix_dedup, toxicity, url_filter, vector_join, warc
+from . import bpe, decontaminate, html_text, language_id, ngram_join, oracles, prefix_trie, suffix_dedup, token_counts, toxicity, url_filter, vector_join, warc, whitening
 from .store import ship, table
 
 
@@ -52,6 +52,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 _QUERIES = [
     op1_language_id,
     op2_toxicity,
@@ -63,6 +77,9 @@ _QUERIES = [
     op8_embedding_near_dedup,
     op9_html_extraction,
     op10_byte_bpe,
+    op11_token_counts,
+    op12_embedding_whitening,
+    op13_prefix_trie,
 ]
 
 
@@ -85,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": oracles.DECONTAMINATION,
         "op7_warc": oracles.WARC,
         "op8_embedding_near_dedup": oracles.VECTOR_JOIN,
+        "op13_prefix_trie": oracles.PREFIX_TRIE,
     }

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_made: list[str] = []
+#: What the innermost `scratch` of this thread has written; none outside of one.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -59,14 +63,24 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What operators write to the shared folder within is deleted at the end: their results must be written by then."""
-    kept = len(_made)
+    """What this thread's operators write to the shared folder within is deleted at the end: results must be written by then."""
+    made: list[str] = []
+    before = _made.set(made)
     try:
         yield
     finally:
-        for path in _made[kept:]:
+        _made.reset(before)
+        for path in made:
             remove(spark, path)
-        del _made[kept:]
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that make() gives, written to the shared folder; what was written on the way is deleted."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
