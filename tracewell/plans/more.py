@@ -37,32 +37,6 @@ def structural_chain(spark, sf_dir):
     return TR.structural_chain(c.tx, _payers(c), c.profile)
 
 
-def _traced(spark, sf_dir):
-    c = case_of(spark, sf_dir)
-    return TR.trace(c.tx, _payers(c), c.roles, c.links, c.profile)
-
-
-@query()
-def trace_transfers(spark, sf_dir):
-    return rounded(_traced(spark, sf_dir))
-
-
-@query()
-def trace_accounts(spark, sf_dir):
-    return TR.trace_accounts(_traced(spark, sf_dir))
-
-
-@query()
-def trace_reconcile(spark, sf_dir):
-    t = _traced(spark, sf_dir)
-    return TR.reconcile(t, TR.trace_accounts(t))
-
-
-@query()
-def trace_per_hop(spark, sf_dir):
-    return TR.per_hop(_traced(spark, sf_dir))
-
-
 @query(f"WITH {LINKS} SELECT l.from_acct AS victim, l.to_acct AS l1, count(*) AS n_payments, CAST(sum(amount_paise) AS BIGINT) AS paid_paise FROM links l WHERE link_type = 'VICTIM_L1' GROUP BY ALL")
 def reverse_payers(spark, sf_dir):
     """Who paid each first-layer account, backwards from it."""

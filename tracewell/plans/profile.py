@@ -47,7 +47,13 @@ DEFAULT: dict = {
         "victim_multiple": 5,
     },
     "rings": {"scatter_min": 2, "funnel_min": 3},
-    "trace": {"max_hops": 4, "coverage": 0.90},
+    "trace": {
+        "max_hops": 4,
+        "coverage": 0.90,
+        "edge_weights": {"onward": 40, "burst": 20, "anomaly": 15, "downstream": 15, "layering": 10},
+        "burst": None,
+        "slot_s": 3600,
+    },
 }
 
 
