@@ -32,10 +32,12 @@ def test_planted_cell_is_found_whole(case):
     role = {r.acct - 1_000_000: r for r in case.roles.filter("acct >= 1000000").collect()}
     assert [role[i].role for i in range(9)] == ["VICTIM"] * 2 + ["L1"] + ["L2"] * 4 + ["L3"] * 2
     kinds = {r.link_type: r["count"] for r in case.links.groupBy("link_type").count().collect()}
-    assert kinds == {"VICTIM_L1": 2, "L1_L2": 8, "L2_L3": 8}
-    ring = case.rings.collect()
-    assert len(ring) == 1 and ring[0].patterns == ["SCATTER_GATHER", "FUNNEL"] and (ring[0].size, ring[0].victim_count) == (7, 2)
-    assert case.on_cycle.count() == 0
+    assert kinds == {"VICTIM_L1": 2 + 4, "L1_L2": 8 + 9, "L2_L2": 2, "L2_L3": 8 + 9}
+    ring = {r.label: r for r in case.rings.collect()}
+    assert sorted(ring) == [1_000_000, 3_000_200]
+    assert ring[1_000_000].patterns == ["SCATTER_GATHER", "FUNNEL"] and (ring[1_000_000].size, ring[1_000_000].victim_count) == (7, 2)
+    assert ring[3_000_200].patterns == ["SCATTER_GATHER", "FUNNEL", "CYCLE"] and (ring[3_000_200].size, ring[3_000_200].victim_count) == (5, 2)
+    assert {r.acct for r in case.on_cycle.collect()} == {3_000_202, 3_000_203}
 
 
 def test_trace_reconciles_by_hand(case, spark):

@@ -114,19 +114,32 @@ def relations(tx_sides: DataFrame, scored: DataFrame, links: DataFrame) -> DataF
         (F.sum(amount * F.col("final_index")) / F.sum(amount)).alias("neighbour_risk"),
         F.sum(signed).alias("holding_paise"),
         F.sum(F.when(F.col("is_in"), amount)).alias("in_total"),
+        F.sum(F.when(~F.col("is_in"), amount)).alias("out_total"),
     )
     kind = F.col("link_type")
     into = links.groupBy(F.col("to_acct").alias("acct")).agg(
+        F.sum(F.when(F.col("from_role") == "VICTIM", amount)).alias("from_victim"),
         F.sum(F.when(F.col("from_role") == "L1", amount)).alias("from_l1"),
         F.sum(F.when(F.col("from_role") == "L2", amount)).alias("from_l2"),
         F.sum(F.when(kind == "L2_L3", amount)).alias("sunk"),
         *(F.bool_or(kind == k).alias(f"in_{k.lower()}") for k in ("VICTIM_L1", "L1_L2", "L2_L2", "L2_L3")),
     )
-    out = links.groupBy(F.col("from_acct").alias("acct")).agg(*(F.bool_or(kind == k).alias(f"out_{k.lower()}") for k in ("VICTIM_L1", "L1_L2", "L2_L2", "L2_L3")))
+    out = links.groupBy(F.col("from_acct").alias("acct")).agg(
+        *(F.sum(F.when(F.col("to_role") == r, amount)).alias(f"to_{r.lower()}") for r in ("L1", "L2", "L3")),
+        *(F.bool_or(kind == k).alias(f"out_{k.lower()}") for k in ("VICTIM_L1", "L1_L2", "L2_L2", "L2_L3")),
+    )
     j = base.join(into, "acct", "left").join(out, "acct", "left")
     of_in = lambda c: F.when(F.col("in_total") > 0, F.coalesce(F.col(c), F.lit(0)) / F.col("in_total"))
-    seen = [F.coalesce(c, F.lit(False)).alias(c) for c in [*into.columns, *out.columns] if c.startswith(("in_", "out_"))]
-    return j.select("acct", "neighbour_risk", "holding_paise", of_in("from_l1").alias("upstream_l1_share"), of_in("from_l2").alias("upstream_l2_share"), of_in("sunk").alias("linked_sink_share"), *seen)
+    seen = [F.coalesce(c, F.lit(False)).alias(c) for c in [*into.columns, *out.columns] if c.startswith(("in_", "out_"))]  # not the totals, which are base's
+    # shares of all money in or out by the role at the other end; null without a link in that direction
+    part = lambda c, whole: F.coalesce(F.col(c), F.lit(0)) / F.col(whole)
+    shares = lambda cs, whole: F.create_map(*(x for r, c in cs.items() for x in (F.lit(r), part(c, whole))))
+    up = F.when(F.col("in_l1_l2").isNotNull(), shares({"VICTIM": "from_victim", "L1": "from_l1", "L2": "from_l2"}, "in_total"))
+    down = F.when(F.col("out_l1_l2").isNotNull(), shares({"L1": "to_l1", "L2": "to_l2", "L3": "to_l3"}, "out_total"))
+    return j.select(
+        "acct", "neighbour_risk", "holding_paise", of_in("from_l1").alias("upstream_l1_share"), of_in("from_l2").alias("upstream_l2_share"), of_in("sunk").alias("linked_sink_share"), *seen,
+        up.alias("upstream_role_share"), down.alias("downstream_role_share"),
+    )
 
 
 def second_pass(features: DataFrame, related: DataFrame, profile: dict) -> DataFrame:
@@ -168,3 +181,46 @@ def roles(scored: DataFrame, tx: DataFrame, profile: dict) -> DataFrame:
     df = df.withColumns({"role_confirmed": confirmed, "candidate_roles": F.when(F.col("is_flagged"), F.transform(near, lambda x: x["r"]))})
     freeze = F.col("is_flagged") & _true(F.col("role_confirmed")) & (F.coalesce("holding_paise", F.lit(0)) > 0)
     return df.withColumn("freeze_recommended", freeze).drop("_ranked", "_top", "_second", "_role")
+
+
+def _fixed(x: Column, digits: int = 1) -> Column:
+    """A number with so many decimals, halves up, as every engine writes it."""
+    n = F.round(x.cast("double") * 10**digits).cast("long")
+    whole = F.concat(F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 10**digits).cast("string"))
+    return F.concat(whole, F.lit("."), F.lpad((F.abs(n) % 10**digits).cast("string"), digits, "0"))
+
+
+def _shown(rule: dict) -> Column:
+    """The feature that a rule looks at, with its value."""
+    told = lambda f: F.concat(F.lit(f"{f} "), F.coalesce(_fixed(F.col(f), 2), F.lit("none")))
+    if rule["rule"] == "any":
+        return F.concat_ws(", ", *(F.when(F.col(f), F.lit(f)) for f in rule["features"]))
+    if rule["rule"] == "commission":
+        return F.concat_ws(", ", told("commission_ratio_median"), told("split_count_median"), told("forward_lag_median_s"))
+    if rule["rule"] == "all":
+        return F.concat_ws(", ", *(told(f) for f in [*rule["at_least"], *rule["at_most"]]))
+    if "receive_only_feature" in rule:
+        return F.when(F.col("is_receive_only"), told(rule["receive_only_feature"])).otherwise(told(rule["feature"]))
+    return told(rule["feature"])
+
+
+def reasons(scored: DataFrame, profile: dict) -> DataFrame:
+    """acct, points (rule to points, null where a rule isn't scored in this pass), points_json (nulls kept), reasons (in order, none null)."""
+    rules = {**profile["mule"], **profile["trust"]}
+    final, flag, o, review = F.col("final_index"), profile["flag"], profile["override"], profile["review"]
+    signals = F.concat(F.col("n_half").cast("string"), F.lit(" signals"))
+    doubtful = ~F.col("is_flagged") & (F.col("mule_index") >= review["mule"]) & (F.col("trust_index") >= review["trust"])
+    raw = F.col("mule_index") * (1 - profile["trust_discount"] * F.col("trust_index") / 100)
+    lines = [
+        F.concat(F.lit("final "), _fixed(final), F.lit(": mule "), _fixed(F.col("mule_index")), F.lit(", trust "), _fixed(F.col("trust_index"))),
+        F.when(F.col("override_applied"), F.concat(F.lit("raised from "), _fixed(raw), F.lit(f" to at least {o['floor']}"))),
+        F.when(F.col("is_flagged"), F.concat(F.lit("flagged with "), signals)).when(final >= flag["threshold"], F.concat(F.lit("not flagged with "), signals)),
+        F.when(doubtful, F.lit("to be reviewed: much trust")),
+    ]
+    for k, r in rules.items():
+        got = F.col(k.lower())
+        lines.append(F.when(got > 0, F.concat(F.lit(f"{k} "), _fixed(got), F.lit(f" of {r['weight']}: "), _shown(r))))
+    lines.append(F.when(F.col("tx_count") < profile["min_tx_for_trust"], F.lit(f"no trust: fewer than {profile['min_tx_for_trust']} transfers")))
+    each = F.create_map(*(x for k in rules for x in (F.lit(k), F.col(k.lower()))))
+    as_json = F.to_json(F.struct(*(F.round(k.lower(), 6).alias(k) for k in rules)), {"ignoreNullFields": "false"})
+    return scored.select("acct", each.alias("points"), as_json.alias("points_json"), F.filter(F.array(*lines), lambda x: x.isNotNull()).alias("reasons"))

@@ -223,7 +223,7 @@ _SEEN = ", ".join(f"{d}_{k.lower()}" for d in ("in", "out") for k in _KINDS)
 
 @query(f"WITH {RELATED} SELECT acct, holding_paise, {_r(*_REL)}, {_SEEN} FROM rel")
 def relations(spark, sf_dir):
-    return rounded(case_of(spark, sf_dir).relations)
+    return rounded(case_of(spark, sf_dir).relations.drop("upstream_role_share", "downstream_role_share"))
 
 
 _P2 = ("mp7", "t5", "mule_index", "trust_index", "final_index")
@@ -331,7 +331,7 @@ def preview_diff(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import more, movement, tracing  # noqa: F401  they register their queries here
+    from . import more, movement, stages, tracing  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 
