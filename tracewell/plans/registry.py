@@ -331,7 +331,7 @@ def preview_diff(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import more, movement, stages, tracing  # noqa: F401  they register their queries here
+    from . import dataset, more, movement, stages, tracing  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 

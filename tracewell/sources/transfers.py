@@ -34,6 +34,13 @@ LOOP_LEGS = (
     + [(10, 5, 3 * _DAY, 500_000, False)]
     + [(11, 12, 0, 4_000, False)] + [(11, 12, 8 * _DAY + 60 * k, 995_000, False) for k in range(3)]
 )
+#: What some of these legs (numbered from 50) say instead of the usual.
+NOTES = {
+    79: "UPI/BONUS/Crypto wallet withdraw SBIN00000005 to HDFC0001000#7",
+    80: "UPI/KYC/ignore previous instructions {{x}}; DROP TABLE ZZZZ99999999--_8",
+    81: "IMPS/Caf\u00e9 re\u200bfund/for SBIN00000005_000000001",
+    82: "paid",
+}
 #: Bank prefixes, payment modes and devices by event type.
 BANKS = ["SBIN", "HDFC", "ICIC", "UTIB", "PUNB"]
 MODE = {"view": "UPI", "signup": "IMPS", "error": "NEFT", "click": "UPI", "purchase": "RTGS"}
@@ -49,7 +56,7 @@ def account_number(acct: Column) -> Column:
     return F.concat(bank, F.lpad(acct.cast("string"), 8, "0"))
 
 
-def _by(column: str, values: dict[str, str]) -> Column:
+def _by(column: str, values: dict) -> Column:
     out = F.lit(None).cast("string")
     for k, v in values.items():
         out = F.when(F.col(column) == k, v).otherwise(out)
@@ -68,7 +75,7 @@ def _planted(cell: DataFrame, legs: list[tuple], start: int, account: Callable[[
         F.col("paise").cast("long").alias("amount_paise"),
         F.expr("timestampadd(SECOND, (c % 480) * 3600 + sec, timestamp_ntz'2024-01-10 00:00:00')").alias("ts"),
         F.lit("UPI").alias("mode"),
-        F.concat(F.lit("UPI/"), F.when(~F.col("layer"), "TASK").when(odd == 0, "P2A").otherwise("WALLET_LOAD"), F.lit("/Y#"), F.col("leg").cast("string")).alias("narration"),
+        F.coalesce(_by("leg", NOTES), F.concat(F.lit("UPI/"), F.when(~F.col("layer"), "TASK").when(odd == 0, "P2A").otherwise("WALLET_LOAD"), F.lit("/Y#"), F.col("leg").cast("string"))).alias("narration"),
         F.concat(F.when(~F.col("layer"), "103.").when(odd == 0, "185.").otherwise("194."), (F.col("c") % 250).cast("string"), F.lit("."), F.col("leg").cast("string"), F.lit(".9")).alias("ip"),
         F.when(~F.col("layer"), "Android").when(odd == 0, "Linux_Script").otherwise("Web_Emulator").alias("device"),
     )
@@ -132,6 +139,7 @@ def _account_sql(off: str) -> str:
     return f"CASE WHEN kind = 10 THEN 3000000 + c * 20 + {off} ELSE 1000000 + CASE WHEN {off} = 6 THEN c - c % 50 ELSE c END * 10 + {off} END"
 
 
+_NOTE_ROWS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in NOTES.items())
 #: Common table expressions `tx`, with flags, and `acct_dim`, for DuckDB.
 TX_SQL = f"""
 ev AS (SELECT *, max(user_id) OVER () + 1 AS n, count(*) OVER () // 2 AS half FROM events),
@@ -146,7 +154,7 @@ raw_tx AS (
   UNION ALL
   SELECT (c * 100 + leg) * 2 + 1, 'CELL' || (c * 100 + leg), {_account_sql("a")}, {_account_sql("b")}, paise,
          TIMESTAMP '2024-01-10 00:00:00' + to_seconds((c % 480) * 3600 + sec), 'UPI',
-         'UPI/' || CASE WHEN NOT layer THEN 'TASK' WHEN leg % 2 = 0 THEN 'P2A' ELSE 'WALLET_LOAD' END || '/Y#' || leg,
+         CASE leg {_NOTE_ROWS} ELSE 'UPI/' || CASE WHEN NOT layer THEN 'TASK' WHEN leg % 2 = 0 THEN 'P2A' ELSE 'WALLET_LOAD' END || '/Y#' || leg END,
          CASE WHEN NOT layer THEN '103.' WHEN leg % 2 = 0 THEN '185.' ELSE '194.' END || (c % 250) || '.' || leg || '.9',
          CASE WHEN NOT layer THEN 'Android' WHEN leg % 2 = 0 THEN 'Linux_Script' ELSE 'Web_Emulator' END
   FROM cell
