@@ -253,3 +253,14 @@ def test_the_trie_leaves_its_result_alone(spark):
     before = set(folder.iterdir())
     prefix_trie.trie(spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "a")], "conv_id long, turn long, role string, text string"))
     assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["trie"]
+
+
+# vectors of extreme size
+
+
+def test_cosines_of_very_large_and_very_small_vectors(spark):
+    from tracewell.llm import vector_join
+
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [0.0, 0.0]), (6, [-1e-300, 1e-310]), (7, [-3.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_join.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6)}

@@ -63,7 +63,8 @@ FROM last"""
 
 VECTOR_JOIN = f"""
 WITH RECURSIVE vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-usable AS (SELECT * FROM vec WHERE len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_inner_product(v, v) > 0),
+most AS (SELECT id, v, list_max(list_transform(v, lambda c: abs(c))) AS m FROM vec WHERE len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+usable AS (SELECT id, list_transform(v, lambda c: c / pow(2, floor(log2(m)))) AS v FROM most WHERE m > 0),
 link AS (
   SELECT a.id AS x, b.id AS y FROM usable a JOIN usable b ON a.id < b.id AND len(a.v) = len(b.v)
   WHERE list_inner_product(a.v, b.v) >= 0.9 * sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))),
@@ -94,7 +95,8 @@ node AS (
   FROM member GROUP BY p),
 child AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
 worth AS (
-  SELECT node.p, d, child.n IS NULL AS leaf, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node.p[d].text, '[^ 	-]+')) END AS saved
+  SELECT node.p, d, child.n IS NULL AS leaf, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node.p[d].text, '[^ 	-
+]+')) END AS saved
   FROM node LEFT JOIN child ON child.p = node.p),
 total AS (SELECT p[1:k] AS p, count(*) FILTER (leaf) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM worth) GROUP BY 1)
 SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends_sha256

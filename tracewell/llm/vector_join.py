@@ -6,7 +6,7 @@ intervals over the tiles is joined with itself level by level: an interval pair
 is skipped with all below it. Each surviving tile pair goes to one task, which recurses into halves of both sequences
 the same way and compares what remains in double precision.
 
-Equal vectors are collapsed first and counted by their number, so that copies are never paired. The principal axes are
+Vectors equal but for a power of two are collapsed first and counted by their number, so that copies are never paired. The principal axes are
 fitted on at most `FIT` vectors (smallest hash); they steer pruning only, never the result.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
@@ -46,8 +46,9 @@ def _keyed(vectors: DataFrame) -> DataFrame:
             dims, keys, xs = [], [], []
             for v in batch.column("embedding").to_pylist():
                 x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
-                if len(x) and np.isfinite(x).all() and (n := np.sqrt((x * x).sum())) > 0 and np.isfinite(n):
-                    raw = (x + 0.0).tobytes()
+                if len(x) and np.isfinite(x).all() and (most := np.abs(x).max()) > 0:
+                    # by a power of two, which changes no cosine and keeps squares within range
+                    raw = (np.ldexp(x, -np.frexp(most)[1]) + 0.0).tobytes()
                     dims.append(len(x))
                     keys.append(hashlib.blake2b(raw, digest_size=16).digest())
                     xs.append(raw)
