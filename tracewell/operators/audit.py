@@ -89,6 +89,26 @@ def adjacency(df: DataFrame, order: list[str], column: str) -> DataFrame:
     return same.join(chance)
 
 
+def adjacent(df: DataFrame, order: list[str], column: str, next_column: str) -> DataFrame:
+    """One row: pairs of a row's `column` and the next row's `next_column`, how many agree, and the chance that any two do."""
+    text = lambda c: F.col(c).cast("string")
+    at = ranked(df, order).select("_rank", text(column).alias("v"), text(next_column).alias("w"))
+    pair = at.select("_rank", "v").join(at.select((F.col("_rank") - 1).alias("_rank"), F.col("w").alias("after")), "_rank").filter("v is not null and after is not null")
+    same = pair.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("v") == F.col("after")).alias("n_same"))
+    count = lambda c, n: df.filter(F.col(c).isNotNull()).groupBy(text(c).alias("x")).agg(F.count("*").alias(n))
+    both = count(column, "a").join(count(next_column, "b"), "x", "full")
+    product = F.sum(F.coalesce(F.col("a"), F.lit(0)).cast("double") * F.coalesce("b", F.lit(0)))
+    return same.join(both.agg(F.try_divide(product, F.sum("a").cast("double") * F.sum("b")).alias("chance")))  # single rows
+
+
+def time_sorted(df: DataFrame, order: list[str], ts: str) -> float | None:
+    """The share of rows, after the first, whose time isn't before that of the row before them in the order."""
+    at = ranked(df, order).select("_rank", ts)
+    pair = at.join(at.select((F.col("_rank") - 1).alias("_rank"), F.col(ts).alias("_after")), "_rank")
+    r = pair.agg(F.count("*").alias("n"), F.count_if(F.col("_after") >= F.col(ts)).alias("up")).first()
+    return r.up / r.n if r.n else None
+
+
 def time_pattern(df: DataFrame, ts: str) -> DataFrame:
     """hour, n, days: rows and distinct dates by hour of the day."""
     t = F.col(ts).cast("timestamp_ntz")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import asof_backward
+
 COLUMNS = ["tx_key", "from_acct", "to_acct", "from_role", "to_role", "link_type", "lag_s", "amount_paise", "share_of_inflow"]
 
 
@@ -18,12 +20,12 @@ def layer_links(tx: DataFrame, cand: DataFrame, inflows: DataFrame, windows: Dat
     senders = cand.filter("is_flagged and cand in ('L1', 'L2')").select("acct", F.col("cand").alias("from_role"))
     w = profile["windows_s"]
     out = outflows.drop("lag_s").join(senders, "acct").withColumns({"lo": F.when(F.col("from_role") == "L1", w["split"][0]).otherwise(w["single"][0]), "hi": F.when(F.col("from_role") == "L1", w["split"][1]).otherwise(w["single"][1])})
-    gap = F.col("out_ts") - F.col("in_ts")
-    # an episode is a short stretch of one account, so pairing within it stays small
-    timed = out.join(inflows.select("acct", "ep", "in_ts"), ["acct", "ep"]).filter(gap.between(F.col("lo"), F.col("hi"))).groupBy("out_key").agg(F.min(gap).alias("lag_s"))
+    # the last inflow of the episode that came early enough is the nearest that may prove it: no pairs
+    near = asof_backward(out.withColumn("_early", F.col("out_ts") - F.col("lo")), inflows.select("acct", "ep", "in_ts"), ["acct", "ep"], "_early", "in_ts", [])
+    out = near.withColumn("lag_s", F.col("out_ts") - F.col("in_ts")).filter(F.col("lag_s") <= F.col("hi"))
     receivers = cand.filter("is_flagged or cand = 'L3'").select(F.col("acct").alias("to_acct"), F.col("cand").alias("to_role"))
     kind = F.concat_ws("_", "from_role", "to_role")
-    mule = out.join(timed, "out_key").join(windows.select("acct", "ep", "in_total"), ["acct", "ep"]).join(receivers, "to_acct").filter("out_amt <= in_total")
+    mule = out.join(windows.select("acct", "ep", "in_total"), ["acct", "ep"]).join(receivers, "to_acct").filter("out_amt <= in_total")
     mule = mule.withColumn("link_type", kind).filter(F.col("link_type").isin("L1_L2", "L2_L2", "L2_L3"))
     mule = mule.select(F.col("out_key").alias("tx_key"), F.col("acct").alias("from_acct"), "to_acct", "from_role", "to_role", "link_type", "lag_s", F.col("out_amt").alias("amount_paise"), (F.col("out_amt") / F.col("in_total")).alias("share_of_inflow"))
     payers = cand.filter("cand = 'VICTIM'").select(F.col("acct").alias("src"))
@@ -48,7 +50,7 @@ def check(tx: DataFrame, links: DataFrame, profile: dict) -> DataFrame:
     j = links.join(tx.select("tx_key", "src", "dst", F.col("amount_paise").alias("raw_amount"), "ts_sec"), "tx_key", "left")
     mule = j.filter("link_type <> 'VICTIM_L1'")
     inflow = tx.select(F.col("dst").alias("src"), F.col("ts_sec").alias("in_ts"))
-    proof = mule.join(inflow, "src").filter(F.col("ts_sec") - F.col("in_ts") == F.col("lag_s")).select("tx_key").distinct()
+    proof = mule.withColumn("in_ts", F.col("ts_sec") - F.col("lag_s")).join(inflow, ["src", "in_ts"], "left_semi").select("tx_key")
     lag_ok = F.when(F.col("from_role") == "L1", F.col("lag_s").between(*w["split"])).otherwise(F.col("lag_s").between(*w["single"]))
     counts = j.agg(
         F.count_if(F.col("raw_amount").isNull() | (F.col("raw_amount") != F.col("amount_paise")) | (F.col("src") != F.col("from_acct")) | (F.col("dst") != F.col("to_acct"))).alias("unlike_transfer"),
