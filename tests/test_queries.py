@@ -3,7 +3,7 @@
 import pytest
 
 from tests import oracle
-from tracewell.plans import dataset, more, movement, reading, registry, stages, tracing
+from tracewell.plans import dataset, more, movement, reading, registry, stages, tracing, traps
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ def one_case(spark):
     """The stages of the analysis are computed once for all queries."""
     shared = registry.case_of(spark, SF)
     with pytest.MonkeyPatch.context() as patch:
-        for module in (registry, dataset, more, movement, reading, stages, tracing):
+        for module in (registry, dataset, more, movement, reading, stages, tracing, traps):
             patch.setattr(module, "case_of", lambda *_: shared)
         yield
 

@@ -331,7 +331,7 @@ def preview_diff(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import dataset, more, movement, reading, stages, tracing, verdict  # noqa: F401  they register their queries here
+    from . import dataset, more, movement, reading, stages, tracing, traps, verdict  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 
