@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint df in the cluster's shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's shared folder and read it back. For large stages: a later reader takes its own columns
+    alone, compressed, and a small table is known to be small, so that joins with it don't shuffle the other side."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tracewell.functions.cut import cut
+from tracewell.functions.cut import stored
 
 from . import episodes as E
 
@@ -19,10 +19,10 @@ class InvariantError(RuntimeError):
 
 
 def checked(df: DataFrame, stage: str, never: dict[str, Column]) -> tuple[DataFrame, int]:
-    """(df, cut; its number of rows). The rows that meet a condition of `never` are counted as they are written; any raises."""
+    """(df, stored; its number of rows). The rows that meet a condition of `never` are counted as they are written; any raises."""
     seen = Observation(stage)
     counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in never.items()]
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("_rows"), *counts))
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("_rows"), *counts))
     got = dict(seen.get)
     rows = got.pop("_rows", 0)
     if broken := {k: v for k, v in got.items() if v}:

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.cut import cut
+from tracewell.functions.cut import cut, stored
 from tracewell.operators import episodes as E
 from tracewell.operators import features as FE
 from tracewell.operators import graph as G
@@ -25,7 +25,7 @@ from .profile import DEFAULT, validate
 
 
 class Case:
-    """tx: transfers with flags (sources.transfers.flagged). Stages that later ones read several times are checkpointed.
+    """tx: transfers with flags (sources.transfers.flagged). Stages that later ones read several times are written once; so should tx be, which all of them read.
 
     Features and links may be given, say from an earlier run; given links must start at accounts that are flagged now.
     """
@@ -44,7 +44,7 @@ class Case:
 
     @cached_property
     def inflows(self) -> DataFrame:
-        return cut(E.inflow_episodes(self.tx))
+        return stored(E.inflow_episodes(self.tx))
 
     @cached_property
     def outflows(self) -> DataFrame:
@@ -52,11 +52,11 @@ class Case:
 
     @cached_property
     def features(self) -> DataFrame:
-        return cut(FE.features(self.tx, self.inflows, self.outflows))
+        return stored(FE.features(self.tx, self.inflows, self.outflows))
 
     @cached_property
     def pass1(self) -> DataFrame:
-        return cut(S.score(self.features, self.profile))
+        return stored(S.score(self.features, self.profile))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -69,11 +69,11 @@ class Case:
 
     @cached_property
     def relations(self) -> DataFrame:
-        return cut(S.relations(T.sides(self.tx), self.pass1, self.links))
+        return stored(S.relations(T.sides(self.tx), self.pass1, self.links))
 
     @cached_property
     def pass2(self) -> DataFrame:
-        return S.second_pass(self.features, self.relations, self.profile)
+        return stored(S.second_pass(self.features, self.relations, self.profile))
 
     @cached_property
     def roles(self) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions.cut import stored
 from tracewell.operators import episodes as E
 from tracewell.operators import features as FE
 from tracewell.operators import links as L
@@ -111,7 +112,7 @@ def features(spark, sf_dir):
 
 
 def case_of(spark: SparkSession, sf_dir: str) -> Case:
-    return Case(tx_of(spark, sf_dir))
+    return Case(stored(tx_of(spark, sf_dir)))
 
 
 def _ramp_sql(x: str, w: float, full: float, half: float | None = None, up: bool = True) -> str:
