@@ -4,7 +4,11 @@ import random
 import statistics
 
 from tracewell.functions.cut import stored
+from tracewell.operators import episodes as E
 from tracewell.operators import features as FE
+from tracewell.operators import trace as TR
+from tracewell.operators import verdicts as V
+from tracewell.plans import profile as P
 from tracewell.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +42,26 @@ def test_median_and_distinct_amounts(spark):
     got = {r.acct: (r.amounts, r.median_amount) for r in FE.spread(spark.createDataFrame(rows, "acct long, amount_paise long")).collect()}
     of = {a: [v for b, v in rows if b == a] for a, _ in rows}
     assert got == {a: (len(set(v)), float(statistics.median(v))) for a, v in of.items()}
+
+
+def test_another_profile_shares_episodes(spark, monkeypatch):
+    c = registry.case_of(spark, SF)
+    assert c.features is not None
+    for name in ("inflow_episodes", "episode_outflows"):
+        monkeypatch.setattr(E, name, lambda *_: 1 / 0)
+    assert c.under(P.changed(c.profile, {"mule.MP1.weight": 30, "mule.MP4.weight": 5})).links.columns == c.links.columns
+
+
+def test_hops_of_the_chain_are_not_worked_out_again(spark):
+    rows = [(i, i, i + 1, 1000 * i + 300, 5) for i in range(1, 6)]
+    tx = spark.createDataFrame(rows, "tx_key long, src long, dst long, ts_sec long, amount_paise long")
+    chain = TR.structural_chain(tx, spark.createDataFrame([(1,)], "acct long"), {**P.DEFAULT, "windows_s": {"split": (0, 1000), "single": (0, 1000)}})
+    assert "Join" not in _plan(chain)
+    assert sorted((r.hop, r.tx_key) for r in chain.collect()) == [(h, h) for h in range(1, P.DEFAULT["trace"]["max_hops"] + 1)]
+
+
+def test_verdicts_read_stored_transfers(spark, monkeypatch):
+    seen, placed = [], V.placed
+    monkeypatch.setattr(V, "placed", lambda df, *a: seen.append(df.inputFiles()) or placed(df, *a))
+    registry.queries()["audit_verdicts"](spark, SF)
+    assert any("stored-" in f for f in seen[0])

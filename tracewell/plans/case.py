@@ -144,9 +144,15 @@ class Case:
     def verify(self) -> None:
         V.raising("case", self.checks())
 
+    def under(self, profile: dict) -> Case:
+        """The same transfers under another profile; episodes and features, which no profile changes, are shared."""
+        other = Case(self.tx, profile, self.features)
+        other.inflows, other.outflows = self.inflows, self.outflows
+        return other
+
     def preview(self, profile: dict) -> DataFrame:
         """Accounts whose score, flag, band or role another profile would change, before and after."""
-        other = Case(self.tx, profile, self.features)
+        other = self.under(profile)
         side = lambda c, s: c.roles.select("acct", *(F.col(x).alias(f"{x}_{s}") for x in ("final_index", "is_flagged", "band", "role")))
         both = side(self, "before").join(side(other, "after"), "acct", "full")
         same = [F.col(f"{x}_before").eqNullSafe(F.col(f"{x}_after")) for x in ("is_flagged", "band", "role")]

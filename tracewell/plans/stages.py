@@ -11,7 +11,6 @@ from tracewell.sources import numbering as N
 from tracewell.sources import results as R
 from tracewell.sources import transfers as T
 
-from .case import Case
 from .profile import changed
 from .registry import _RING, EP, RELATED, ROLES, TX, _network_sql, _reweighted, case_of, query, rounded, tx_of
 
@@ -116,7 +115,7 @@ _KEPT = "acct, round(final_index, 6) AS final_index, is_flagged, band, role"
 def profiles_side_by_side(spark, sf_dir):
     """Scores of two profiles from their stored tables, one of which was refilled."""
     c = case_of(spark, sf_dir)
-    other = Case(c.tx, changed(c.profile, {"profile_id": "more-pass-through", "mule.MP1.weight": 30, "mule.MP4.weight": 5}), c.features)
+    other = c.under(changed(c.profile, {"profile_id": "more-pass-through", "mule.MP1.weight": 30, "mule.MP4.weight": 5}))
     folder = f"{shared_folder(spark)}/profiles-{uuid.uuid4().hex}"
     for case in (c, other, c):
         R.refill(case.roles.select("acct", "final_index", "is_flagged", "band", "role"), folder, "scores", case.profile["profile_id"])
