@@ -1,7 +1,7 @@
 """Following payers' money: the structural chain, and the pro-rata trace of many payers at once.
 
 Every hop is a join of the money's arrivals with the transfers of the accounts they reached; hops are at most
-`max_hops`, so the loop is short and unrolled into one plan with a checkpoint for each hop.
+`max_hops`, so the loop is short and unrolled; each hop's rows are written, so later hops read them and know how many they are.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.cut import cut
+from tracewell.functions.cut import stored
 
 from .joins import interval_join
 from .scan import interval_sums, linear_before, pool_before, slots_between
@@ -22,12 +22,12 @@ def structural_chain(tx: DataFrame, payers: DataFrame, profile: dict) -> DataFra
     """
     row = tx.select("tx_key", "src", "dst", "ts_sec")
     step = row.join(payers.select(F.col("acct").alias("src")), "src").select(F.col("src").alias("victim"), F.lit(1).alias("hop"), "tx_key", F.col("dst").alias("src"), F.col("ts_sec").alias("arrived"))
-    found = step
+    found = step = stored(step)
     leave = row.select("src", F.col("tx_key").alias("next_key"), F.col("dst").alias("next_dst"), F.col("ts_sec").alias("left"))
     for hop in range(2, profile["trace"]["max_hops"] + 1):
         low, high = profile["windows_s"]["split" if hop == 2 else "single"]
         step = interval_join(step.select("victim", "src", "arrived"), leave, ["src"], "arrived", "left", low, high)
-        step = step.select("victim", F.lit(hop).alias("hop"), F.col("next_key").alias("tx_key"), F.col("next_dst").alias("src"), F.col("left").alias("arrived")).distinct()
+        step = stored(step.select("victim", F.lit(hop).alias("hop"), F.col("next_key").alias("tx_key"), F.col("next_dst").alias("src"), F.col("left").alias("arrived")).distinct())
         found = found.unionByName(step)
     return found.select("victim", "hop", "tx_key")
 
@@ -41,7 +41,7 @@ def edge_scores(tx: DataFrame, features: DataFrame, payments: DataFrame, profile
     t, (low, high) = profile["trace"], profile["windows_s"]["single"]
     paid = payments.select("tx_key", "src", "dst", "ts_sec", "amount_paise", "is_layering")
     receivers = paid.select(F.col("dst").alias("src")).distinct()
-    sent = cut(tx.select("tx_key", "src", "dst", "ts_sec", "amount_paise").join(receivers, "src", "left_semi"))
+    sent = stored(tx.select("tx_key", "src", "dst", "ts_sec", "amount_paise").join(receivers, "src", "left_semi"))
     movers = tx.select(F.col("src").alias("acct"), F.col("ts_sec").alias("ts"), F.lit(1).alias("n")).join(sent.select(F.col("dst").alias("acct")).distinct(), "acct", "left_semi")
     moved = interval_sums(sent.select(F.col("tx_key").alias("id"), F.col("dst").alias("acct"), F.col("ts_sec").alias("ts")), movers, ["acct"], low, high, ["n"])
     points = sent.join(moved.select(F.col("id").alias("tx_key"), "n"), "tx_key").select(F.col("src").alias("acct"), F.col("ts_sec").alias("ts"), F.col("amount_paise").alias("sent"), F.when(F.col("n") > 0, F.col("amount_paise")).otherwise(0).alias("again"))
@@ -68,15 +68,15 @@ def _first_hop(tx: DataFrame, out: DataFrame, payers: DataFrame, features: DataF
     """The payers' payments that are followed: linked ones; without any, those to flagged accounts; without any, the best by edge score."""
     paid = out.join(payers.select(F.col("acct").alias("src")).distinct(), "src")
     rule = paid.groupBy("src").agg(F.bool_or("linked").alias("any_link"), F.bool_or("is_flagged").alias("any_flag"))
-    paid = cut(paid.join(rule, "src"))
+    paid = stored(paid.join(rule, "src"))
     known = paid.filter(F.when(F.col("any_link"), F.col("linked")).otherwise(F.col("is_flagged"))).withColumn("edge_score", F.lit(None).cast("double"))
     open_ = paid.filter("not any_link and not any_flag")
     if not open_.isEmpty():
         scores = edge_scores(tx, features, tx.join(open_.select("tx_key"), "tx_key", "left_semi"), profile)
-        open_ = cut(open_.join(scores.select("tx_key", "edge_score"), "tx_key"))
+        open_ = stored(open_.join(scores.select("tx_key", "edge_score"), "tx_key"))
         best = open_.groupBy("src").agg(F.max("edge_score").alias("best"))
         known = known.unionByName(open_.join(best, "src").filter("edge_score = best and edge_score > 0").drop("best"))
-    return cut(known.select(
+    return stored(known.select(
         F.col("src").alias("victim"), F.lit(1).alias("hop"), "tx_key", F.col("src").alias("from_acct"), F.col("dst").alias("to_acct"), "ts_sec", "amount_paise",
         F.col("amount_paise").cast("double").alias("tainted"), F.when(F.col("linked"), "layer_link").otherwise("fallback").alias("via"), F.lit(False).alias("untraced"), "edge_score",
     ))
@@ -109,7 +109,7 @@ def carried(groups: DataFrame, arrived: DataFrame, tx: DataFrame, width: int) ->
     Events at one time: inflows first, then by amount. Events are met, and the pool and the taint carried, slot by slot.
     """
     side = lambda acct, kind: tx.select(F.col(acct).alias("acct"), "tx_key", "ts_sec", "amount_paise", F.lit(kind).alias("kind"), F.floor(F.col("ts_sec") / width).alias("slot"))
-    spans = groups.select("victim", "acct", "t0", "end", slots_between(F.col("t0"), F.col("end"), width).alias("slot"))
+    spans = stored(groups.select("victim", "acct", "t0", "end", slots_between(F.col("t0"), F.col("end"), width).alias("slot")))
     events = spans.join(side("dst", 0).unionByName(side("src", 1)), ["acct", "slot"]).filter(F.col("ts_sec").between(F.col("t0"), F.col("end"))).drop("t0", "end")
     taint = arrived.select("victim", "acct", F.col("in_key").alias("tx_key"), F.lit(0).alias("kind"), "tainted")
     events = events.join(taint, ["victim", "acct", "tx_key", "kind"], "left").withColumn("change", F.when(F.col("kind") == 0, F.col("amount_paise")).otherwise(-F.col("amount_paise")))
@@ -134,16 +134,16 @@ def trace(tx: DataFrame, payers: DataFrame, scored: DataFrame, links: DataFrame,
     row = tx.select("tx_key", "src", "dst", "ts_sec", "amount_paise")
     linked = links.select("tx_key", F.lit(True).alias("linked"))
     judged = scored.select(F.col("acct").alias("dst"), "is_flagged", "final_index")
-    out = cut(row.join(linked, "tx_key", "left").join(judged, "dst").withColumn("linked", F.coalesce("linked", F.lit(False))))
+    out = stored(row.join(linked, "tx_key", "left").join(judged, "dst").withColumn("linked", F.coalesce("linked", F.lit(False))))
     role = links.filter("from_role in ('L1', 'L2')").groupBy(F.col("from_acct").alias("acct")).agg(F.min("from_role").alias("sender"))
     ends = scored.filter("is_receive_only").select("acct")
     found = step = _first_hop(tx, out, payers, scored, profile)
     for hop in range(2, t["max_hops"] + 1):
         arrived = step.filter("not untraced").select("victim", F.col("to_acct").alias("acct"), F.col("ts_sec").alias("at"), "tainted", F.col("tx_key").alias("in_key"))
-        arrived = cut(arrived.join(ends, "acct", "left_anti"))
+        arrived = stored(arrived.join(ends, "acct", "left_anti"))
         if arrived.isEmpty():
             break
-        follow = cut(_choice(arrived, out, role, profile))
+        follow = stored(_choice(arrived, out, role, profile))
         group = follow.groupBy("victim", "acct", "t0", "t1").agg(F.max("any_link").alias("any_link"), F.max("sender").alias("sender"))
         end = F.col("t1") + F.when(F.col("any_link") & (F.col("sender") == "L1"), w["split"][1]).otherwise(w["single"][1])
         group = group.withColumn("end", end)
@@ -153,7 +153,7 @@ def trace(tx: DataFrame, payers: DataFrame, scored: DataFrame, links: DataFrame,
             "victim", F.lit(hop).alias("hop"), "tx_key", F.col("acct").alias("from_acct"), "to_acct", "ts_sec", "amount_paise", "tainted",
             F.when(F.col("any_link"), "layer_link").otherwise("fallback").alias("via"), (F.col("follow").isNull() | (F.col("tainted") < 0.5)).alias("untraced"), F.lit(None).cast("double").alias("edge_score"),
         )
-        step = cut(step)
+        step = stored(step)
         found = found.unionByName(step)
     return found
 
