@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracewell.functions.cut import stored
 from tracewell.operators import audit as A
 from tracewell.operators import verdicts as V
 from tracewell.sources import transfers as T
@@ -90,7 +91,7 @@ _PARTS = [
 def audit_verdicts(spark, sf_dir):
     """What the audit says about columns of the given tables: one row for each tool and column."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    events, tx = read("events"), tx_of(spark, sf_dir).withColumnRenamed("is_headless", "headless")
+    events, tx = read("events"), stored(tx_of(spark, sf_dir)).withColumnRenamed("is_headless", "headless")
     mixed = events.selectExpr("*", "user_id % 3 AS `user_id % 3`")
     found = [
         V.shape(events, "event_type"), V.shape(tx, "narration"), V.shape(read("part"), "p_name"),
