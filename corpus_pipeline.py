@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontaminate, language_id, ngram_join, suffix_dedup
-from tracewell.llm.store import materialise, remove, scratch, shared_dir, ship, table
+from tracewell.llm.store import bounded_batches, materialise, remove, scratch, shared_dir, ship, table
 
 MIN_SHARE = 0.5
 
@@ -41,11 +41,13 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     found = language_id.identify(docs, docs.columns).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_SHARE))
     return found.select(*(F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     rows = _numbered(docs)
     groups = ngram_join.groups(rows.select(F.col(ROW).alias("doc_id"), "text")).filter("n_shingles > 0")
     groups = groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"))
@@ -56,10 +58,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return suffix_dedup.texts(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     rows = _numbered(docs)
     found = decontaminate.find(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return _without(rows, found.filter("contaminated").select(F.col("doc_id").alias(ROW)))
@@ -68,6 +72,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

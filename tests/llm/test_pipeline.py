@@ -6,7 +6,7 @@ import corpus_pipeline as P
 import numpy as np
 import regex
 from tests.llm import brute
-from tracewell.llm import bpe, store
+from tracewell.llm import bpe, store, suffix_dedup
 
 SF = brute.SF
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -91,3 +91,32 @@ def test_pipeline_judges_rows_not_ids(spark):
     left = P.contamination(spark, docs, SF)
     assert left.columns == COLUMNS
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted((d or 0, t) for d, t in rows if t != item)
+
+
+def test_repeated_strings_carries_a_text_once(spark, monkeypatch):
+    find, carried = suffix_dedup.find, []
+    monkeypatch.setattr(suffix_dedup, "find", lambda docs, carry: carried.append(carry) or find(docs, carry))
+    again = "".join(chr(97 + i * i % 23) for i in range(120))
+    docs = spark.createDataFrame([(1, again, "en", "s", 120), (2, "\u00e9" + again, None, "s", 121), (3, None, "en", None, None), (4, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.repeated_strings(spark, docs, SF)
+    assert got.columns == COLUMNS and carried == [[c for c in COLUMNS if c != "text"]]
+    assert sorted(map(tuple, got.collect())) == [(1, again, "en", "s", 120), (2, "\u00e9", None, "s", 1), (3, None, "en", None, None), (4, "", "en", "s", 0)]
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    session = spark.newSession()
+    docs = session.range(3000, numPartitions=1).selectExpr("id as doc_id", "repeat('the cat ', 500) as text", "'en' as lang", "'s' as source", "4000L as n_chars")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    most = lambda: max(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+    assert most() > 8_000_000
+    P.repeated_strings(session, docs.limit(0), SF)
+    assert most() < 5_000_000
+    session.conf.set(store.BATCH, "9m")
+    P.language(session, docs.limit(0), SF)
+    assert session.conf.get(store.BATCH) == "9m"

@@ -91,5 +91,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Rows go to Python tasks so many bytes at a time, not 10,000 whole texts: both sides hold a batch or two. A size
+    that the session has been given stays."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

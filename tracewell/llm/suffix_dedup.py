@@ -281,7 +281,8 @@ def _resolve(merged: Iterator[tuple[int, tuple]]) -> pd.DataFrame:
 def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) and spans, for every row of docs.
 
-    carry: further columns of docs to hand on, in a struct named rest; kept is text then, without characters cut into.
+    carry: further columns of docs to hand on, in a struct named rest; kept is text then, without characters cut into,
+    and null for a null text. The text needs no carrying.
     """
     spark = docs.sparkSession
     rest = F.struct(*carry) if carry else F.lit(None).cast("int")
@@ -331,7 +332,8 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 500):
             cols = [batch.column(c).to_pylist() for c in ("doc_id", "first", "more")]
-            for at, enc in chunks(batch.column("text").to_pylist()):
+            texts = batch.column("text").to_pylist()
+            for at, enc in chunks(texts):
                 a, rows = Anchors(enc), []
                 (k,) = np.nonzero(twice.value.has(a.hash))
                 bounds, lo, hi = np.searchsorted(a.text[k], np.arange(len(enc) + 1)).tolist(), a.lo[k].tolist(), a.hi[k].tolist()
@@ -344,7 +346,7 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
                     rows.append((doc_id, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [{"start": x, "end": y} for x, y in merged]))
                 made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
                 if as_text:
-                    made[5] = pa.array([r[5].decode("utf-8", "ignore") for r in rows], pa.string())
+                    made[5] = pa.array([None if texts[at + i] is None else r[5].decode("utf-8", "ignore") for i, r in enumerate(rows)], pa.string())
                 yield pa.RecordBatch.from_arrays([*made, batch.column("rest").slice(at, len(enc))], [*names, "rest"])
 
     # texts wait for what is known of them in one exchange, or in none where that is small
@@ -454,6 +456,6 @@ def texts(docs: DataFrame) -> DataFrame:
 
     An n_chars column is counted anew.
     """
-    out = find(docs, docs.columns).select("rest", F.when(F.col("rest.text").isNotNull(), F.col("kept")).alias("kept"))
+    out = find(docs, [c for c in docs.columns if c != "text"])
     put = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.select(*((put[c] if c in put else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
