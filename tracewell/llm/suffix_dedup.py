@@ -15,7 +15,9 @@ two for every N - K bytes. An anchor's context is the stretch of bytes that its
    common prefixes and compares bytes beyond them only. Neighbours' common prefixes give the intervals of suffixes that
    share their first N - l bytes; with equal l bytes before the anchor, they hold equal windows, the first of which stays.
 
-Filters of bounded size select rows for the next step; their false positives cost work, never a result. Texts are whole
+Which tokens (anchors, windows) occur more than once is counted exactly, on packed tokens, and told to each partition of the
+corpus in files of its own (`filed`), like all else that a later scan has to know of its rows: nothing goes to all tasks,
+and texts are never moved. What is written grows in step with the corpus, and goes when its step is done. Texts are whole
 and treated as UTF-8 bytes; matches never cross documents.
 
 Defined results: null counts as empty; texts under N bytes lose nothing. Rows that share a doc_id are taken in the order
@@ -28,6 +30,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -36,16 +39,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom
-from .store import materialise
+from .filed import Filed, Tokens, by_partition, column, file, numbered, ranges, repeated
+from .store import materialise, settled
 from .wordbytes import CHUNK, chunks, mix, parts
 
 N, K = 100, 50
 RUN = 50_000
 #: records of a range, about
 RANGE = 50_000
+#: occurrences of contexts are packed in runs of about so many, by the first bits of their digests
+RUN_FOUND, PART_BITS = 1 << 17, 10
 _LAST = (1 << 63) - 1
-_ROW_MULT = np.uint64(0xD6E8FEB86659FD93)
+#: an occurrence of a context: its digest, where it is, its anchor's hash
+_OCCURRENCE = np.dtype([("x", "<u8"), ("y", "<u8"), ("doc_id", "<i8"), ("row", "<i8"), ("lo", "<i8"), ("anchor", "<u8")])
 
 
 #: powers of an odd number and of its inverse, for hashes that only propose: whatever they let pass is compared in full
@@ -120,23 +126,73 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _pair_token(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return mix(row.view(np.uint64) * _ROW_MULT + lo.astype(np.uint64))
-
-
 def _batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], list(cols))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts(batches):
-        for _, enc in chunks(batch.column("text").to_pylist()):
-            h, n = np.unique(Anchors(enc).hash, return_counts=True)
-            yield _batch(token=_signed(h), n=n)
+def _anchor_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, enc in chunks(batch.column("text").to_pylist()):
+        yield Anchors(enc).hash
+
+
+def _doc_ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array([_LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+
+
+def _firsts(found: np.ndarray) -> np.ndarray:
+    """The first occurrence of each context, in the order in which they stand."""
+    order = np.lexsort([found[c] for c in ("lo", "row", "doc_id", "y", "x")])
+    new = np.ones(len(order), bool)
+    new[1:] = (found["x"][order[1:]] != found["x"][order[:-1]]) | (found["y"][order[1:]] != found["y"][order[:-1]])
+    return found[np.sort(order[new])]
+
+
+def _pack_found(found: np.ndarray) -> bytes:
+    """Digests and hashes as they are; the rest, whose rows ascend, in planes of bytes, ids and rows as differences."""
+    rest = np.array([np.diff(found["doc_id"], prepend=0), np.diff(found["row"], prepend=0), found["lo"]], "<i8")
+    planes = zstandard.ZstdCompressor(level=1).compress(rest.reshape(-1, 1).view(np.uint8).T.tobytes())
+    return np.uint32(len(found)).tobytes() + np.array([found[c] for c in ("x", "y", "anchor")], "<u8").tobytes() + planes
+
+
+def _unpack_found(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    out = np.empty(n, _OCCURRENCE)
+    out["x"], out["y"], out["anchor"] = np.frombuffer(raw, "<u8", 3 * n, 4).reshape(3, n)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[4 + 24 * n :]), np.uint8).reshape(8, -1)
+    doc_id, row, out["lo"] = np.ascontiguousarray(planes.T).view("<i8").reshape(3, n)
+    out["doc_id"], out["row"] = np.cumsum(doc_id), np.cumsum(row)
+    return out
+
+
+def _place_keys(row: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Places of windows in a partition as single numbers."""
+    return (row.view(np.uint64) << np.uint64(31)) | lo.view(np.uint64)
+
 
+class _Places:
+    """Places of first occurrences in a partition."""
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token")
+    def __init__(self, tables: list[pa.Table]) -> None:
+        self.keys = np.sort(_place_keys(column(tables, "row"), column(tables, "lo")))
+
+    def has(self, row: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        key = _place_keys(row, lo)
+        if not len(self.keys):
+            return np.zeros(len(key), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+
+
+class _Spans:
+    """Spans of a partition by row."""
+
+    def __init__(self, tables: list[pa.Table]) -> None:
+        row, start, end = (column(tables, c) for c in ("row", "start", "end"))
+        order = np.lexsort((start, row))
+        self.row, self.start, self.end = row[order], start[order].tolist(), end[order].tolist()
+
+    def of(self, rows: np.ndarray) -> list[list[tuple[int, int]]]:
+        a, b = (np.searchsorted(self.row, rows, side).tolist() for side in ("left", "right"))
+        return [list(zip(self.start[i:j], self.end[i:j], strict=True)) for i, j in zip(a, b, strict=True)]
 
 
 def _front_code(records: list[tuple]) -> bytes:
@@ -287,72 +343,32 @@ def find(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     spark = docs.sparkSession
     rest = F.struct(*carry) if carry else F.lit(None).cast("int")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"), F.monotonically_increasing_id().alias("row"))
-    share = spark.sparkContext.broadcast
-    twice = share(bloom(materialise(_repeated(source.select("text").mapInArrow(_counted, "token long, n long")), "anchors")))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            ids = np.array([_LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
-            rows = batch.column("row").to_numpy()
-            for at, enc in chunks(batch.column("text").to_pylist()):
-                a = Anchors(enc)
-                (k,) = np.nonzero(twice.value.has(a.hash))
-                yield _batch(context=pa.array(a.digests(k), pa.binary()), anchor=_signed(a.hash[k]), doc_id=ids[at + a.text[k]], row=rows[at + a.text[k]], lo=a.lo[k])
-
-    found = source.select("doc_id", "text", "row").mapInArrow(places, "context binary, anchor long, doc_id long, row long, lo long")
-    firsts = materialise(found.groupBy("context").agg(F.min("anchor").alias("anchor"), F.min(F.struct("doc_id", "row", "lo")).alias("at")).select("context", "anchor", "at.row", "at.lo"), "firsts")
-    varied = firsts.groupBy("anchor").agg(F.min("context").alias("x"), F.max("context").alias("y")).filter("x <> y").select("anchor")
-
-    def token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _batch(token=_signed(_pair_token(batch.column("row").to_numpy(), batch.column("lo").to_numpy())))
-
-    wanted = firsts.join(varied, "anchor", "left_semi").select("row", "lo").mapInArrow(token, "token long")
-    wanted = share(bloom(materialise(wanted, "wanted")))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            ids = np.array([_LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
-            rows = batch.column("row").to_numpy()
-            for at, enc in chunks(batch.column("text").to_pylist()):
-                a = Anchors(enc)
-                (k,) = np.nonzero(twice.value.has(a.hash) & wanted.value.has(_pair_token(rows[at + a.text], a.lo)))
-                text = [a.bytes_of(i) for i in k]
-                yield _batch(doc_id=ids[at + a.text[k]], row=rows[at + a.text[k]], lo=a.lo[k], place=a.place[k], text=pa.array(text, pa.binary()))
-
-    table = materialise(source.select("doc_id", "text", "row").mapInArrow(contexts, "doc_id long, row long, lo long, place long, text binary"), "contexts")
-    spans = _merge_spans(table)
+    folder = file(spark, "spans", lambda: _spans(source.select("doc_id", "text", "row")), "row", "start")
 
     kind = source.schema["rest"].dataType.simpleString()
-    known = firsts.groupBy("row").agg(F.collect_list("lo").alias("first")).join(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("more")), "row", "full")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
     as_text = carry is not None
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 500):
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "first", "more")]
+        spans = Filed(folder, _Spans)
+        for pid, batch in by_partition(batches, 500):
+            doc_ids, found = batch.column("doc_id").to_pylist(), spans.of(pid).of(batch.column("row").to_numpy())
             texts = batch.column("text").to_pylist()
             for at, enc in chunks(texts):
-                a, rows = Anchors(enc), []
-                (k,) = np.nonzero(twice.value.has(a.hash))
-                bounds, lo, hi = np.searchsorted(a.text[k], np.arange(len(enc) + 1)).tolist(), a.lo[k].tolist(), a.hi[k].tolist()
+                rows = []
                 for i, raw in enumerate(enc):
-                    doc_id, first, more = (c[at + i] for c in cols)
-                    stay, own = set(first or ()), range(bounds[i], bounds[i + 1])
-                    merged = _merged([(lo[j], hi[j] + N) for j in own if lo[j] not in stay] + [(m["start"], m["end"]) for m in more or ()])
+                    merged = _merged(found[at + i])
                     cuts = [0, *(x for m in merged for x in m), len(raw)]
                     kept = b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True))
-                    rows.append((doc_id, len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [{"start": x, "end": y} for x, y in merged]))
+                    rows.append((doc_ids[at + i], len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [{"start": x, "end": y} for x, y in merged]))
                 made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
                 if as_text:
                     made[5] = pa.array([None if texts[at + i] is None else r[5].decode("utf-8", "ignore") for i, r in enumerate(rows)], pa.string())
                 yield pa.RecordBatch.from_arrays([*made, batch.column("rest").slice(at, len(enc))], [*names, "rest"])
 
-    # texts wait for what is known of them in one exchange, or in none where that is small
-    rows = source.join(known, "row", "left").select("doc_id", "text", "rest", "first", "more")
     kept = "string" if as_text else "binary"
-    return rows.mapInArrow(remove, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kept}, spans array<struct<start:long,end:long>>, rest {kind}")
+    return source.mapInArrow(remove, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kept}, spans array<struct<start:long,end:long>>, rest {kind}")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -366,6 +382,79 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _spans(source: DataFrame) -> DataFrame:
+    """Spans (pid, row, start, end) of windows that start earlier too."""
+    table = settled(source.sparkSession, "contexts", lambda: _contexts(source))
+    covered = table.filter("text is null").select("row", F.col("lo").alias("start"), F.col("place").alias("end"))
+    return _merge_spans(table.filter("text is not null")).unionByName(covered).select(numbered(), "row", "start", "end")
+
+
+def _contexts(source: DataFrame) -> DataFrame:
+    """First occurrences of contexts whose anchor has others too; without text: lo..place is covered by other occurrences."""
+    spark = source.sparkSession
+    twice = repeated(source.select("row", "text"), _anchor_hashes, "anchors")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, held, size = Filed(twice, Tokens), [], 0
+
+        def run() -> pa.RecordBatch:
+            found = _firsts(np.concatenate(held))
+            part = (found["x"] >> np.uint64(64 - PART_BITS)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            found, part = found[order], part[order]
+            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            return _batch(part=part[[0, *ends[:-1]]], packed=pa.array([_pack_found(found[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()))
+
+        for pid, batch in by_partition(batches):
+            ids, rows = _doc_ids(batch), batch.column("row").to_numpy()
+            for at, enc in chunks(batch.column("text").to_pylist()):
+                a = Anchors(enc)
+                (k,) = np.nonzero(anchors.of(pid).has(a.hash))
+                found = np.empty(len(k), _OCCURRENCE)
+                found["x"], found["y"] = np.frombuffer(b"".join(a.digests(k)), "<u8").reshape(-1, 2).T
+                found["doc_id"], found["row"], found["lo"], found["anchor"] = ids[at + a.text[k]], rows[at + a.text[k]], a.lo[k], a.hash[k]
+                held.append(found)
+                size += len(k)
+                if size >= RUN_FOUND:
+                    yield run()
+                    held, size = [], 0
+        if size:
+            yield run()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for same in ranges(batches):
+            found = _firsts(np.concatenate([_unpack_found(r["packed"]) for r in same]))
+            yield _batch(row=found["row"].copy(), lo=found["lo"].copy(), anchor=_signed(found["anchor"].copy()))
+
+    def firsts() -> DataFrame:
+        found = source.mapInArrow(places, "part int, packed binary").repartition("part").sortWithinPartitions("part")
+        return found.mapInArrow(first, "row long, lo long, anchor long").select(numbered(), "*")
+
+    stay = file(spark, "firsts", firsts, "row", "lo")
+    anchors = spark.read.schema("row long, lo long, anchor long, pid long").parquet(stay).select("row", "anchor")
+    varied = repeated(anchors, lambda batch: iter([batch.column("anchor").to_numpy().view(np.uint64)]), "varied")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, staying, several = Filed(twice, Tokens), Filed(stay, _Places), Filed(varied, Tokens)
+        for pid, batch in by_partition(batches):
+            ids, rows = _doc_ids(batch), batch.column("row").to_numpy()
+            for at, enc in chunks(batch.column("text").to_pylist()):
+                a = Anchors(enc)
+                (k,) = np.nonzero(anchors.of(pid).has(a.hash))
+                stays = staying.of(pid).has(rows[at + a.text[k]], a.lo[k])
+                gone, k = k[~stays], k[stays]
+                # contexts in order: those that meet or overlap are covered as one
+                text, lo, end = a.text[gone], a.lo[gone], a.hi[gone] + N
+                new = np.ones(len(gone), bool)
+                new[1:] = (text[1:] != text[:-1]) | (lo[1:] > end[:-1])
+                last = np.append(new[1:], True) if len(gone) else new
+                k = k[several.of(pid).has(a.hash[k])]
+                own, of = np.concatenate((text[new], a.text[k])) + at, [None] * int(new.sum()) + [a.bytes_of(i) for i in k]
+                yield _batch(doc_id=ids[own], row=rows[own], lo=np.concatenate((lo[new], a.lo[k])), place=np.concatenate((end[last], a.place[k])), text=pa.array(of, pa.binary()))
+
+    return source.mapInArrow(contexts, "doc_id long, row long, lo long, place long, text binary")
+
+
 def _merge_spans(table: DataFrame) -> DataFrame:
     """Spans (row, start, end) of windows that start earlier too, by the distributed merge sort of the contexts' suffixes."""
     spark = table.sparkSession
@@ -388,18 +477,12 @@ def _merge_spans(table: DataFrame) -> DataFrame:
                 size += len(text[k])
         return np.concatenate(got), at
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            h, n = np.unique(windows(batch.column("text").to_pylist())[0], return_counts=True)
-            yield _batch(token=_signed(h), n=n)
-
-    several = spark.sparkContext.broadcast(bloom(materialise(_repeated(table.mapInArrow(count, "token long, n long")), "windows")))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+    def cut(batches: Iterator[pa.RecordBatch], twice: str) -> Iterator[pa.RecordBatch]:
+        several = Filed(twice, Tokens)
+        for pid, batch in by_partition(batches):
             text = batch.column("text").to_pylist()
             h, at = windows(text)
-            ok = several.value.has(h)
+            ok = several.of(pid).has(h)
             edge = np.zeros(len(h) + 1, bool)
             edge[at] = True
             start = np.flatnonzero(ok & (edge[:-1] | ~np.concatenate(([False], ok[:-1]))))
@@ -413,7 +496,11 @@ def _merge_spans(table: DataFrame) -> DataFrame:
             mark = [hashlib.blake2b(x + y, digest_size=16, salt=len(x).to_bytes(8, "little")).digest() for x, y in zip(left, suffix, strict=True)]
             yield _batch(mark=pa.array(mark, pa.binary()), doc_id=ids[of], row=rows[of], place=place[of], left=pa.array(left, pa.binary()), suffix=pa.array(suffix, pa.binary()))
 
-    cuts = materialise(table.mapInArrow(cut, "mark binary, doc_id long, row long, place long, left binary, suffix binary"), "cuts")
+    def all_cuts() -> DataFrame:
+        twice = repeated(table.select("row", "text"), lambda batch: iter([windows(batch.column("text").to_pylist())[0]]), "windows")
+        return table.mapInArrow(partial(cut, twice=twice), "mark binary, doc_id long, row long, place long, left binary, suffix binary")
+
+    cuts = settled(spark, "cuts", all_cuts)
     # of equal cuts the first stays, the others are covered throughout
     records = cuts.groupBy("mark").agg(F.min(F.struct("doc_id", "row", "place", "left", "suffix")).alias("r"))
     records = materialise(records.select("mark", "r.*"), "records")
@@ -448,7 +535,7 @@ def _merge_spans(table: DataFrame) -> DataFrame:
         return _resolve(iter(LoserTree([_decode(r) for r in pdf["run"]])))
 
     merged = records.drop("mark").mapInArrow(sort_runs, "part int, run binary").groupBy("part").applyInPandas(merge, "row long, start long, end long")
-    return materialise(merged.unionByName(covered), "spans")
+    return merged.unionByName(covered)
 
 
 def texts(docs: DataFrame) -> DataFrame:
